@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, neighbours, packing, quality, token_counts, urls
+from . import chat, lines, mixing, near_dups, neighbours, packing, quality, token_counts, urls
 from ._common import table
 
 #: The vocabulary files' names; their folder is the tokenizer package's.
@@ -48,8 +48,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_neighbours, op4_line_dedup, op5_token_counts, op6_quality, op7_chat, op8_mixing, op9_urls)}
+    return {f.__name__: f for f in (op1_packing, op3_neighbours, op4_line_dedup, op5_token_counts, op6_quality, op7_chat, op8_mixing, op9_urls, op10_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
