@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, near_dups, neighbours, packing, quality, token_counts, urls
+from . import chat, lines, mixing, near_dups, neighbours, packing, quality, substrings, token_counts, urls
 from ._common import table
 
 #: The vocabulary files' names; their folder is the tokenizer package's.
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +57,7 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_neighbours, op4_line_dedup, op5_token_counts, op6_quality, op7_chat, op8_mixing, op9_urls, op10_near_dups)}
+    return {f.__name__: f for f in (op1_packing, op2_substrings, op3_neighbours, op4_line_dedup, op5_token_counts, op6_quality, op7_chat, op8_mixing, op9_urls, op10_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
