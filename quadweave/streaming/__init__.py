@@ -1,0 +1 @@
+"""Additions beyond batch work."""
