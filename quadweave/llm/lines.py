@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE
+from ._common import SPACE, cut
 
 DEPTH = 3
 MIN_TOKENS = DEPTH + 1
@@ -36,21 +36,28 @@ def tokens(line: Column) -> Column:
 
 
 def _form(line: Column) -> Column:
-    """A masked line with single spaces."""
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+    """A line masked and with single spaces; most lines need neither."""
+    line = F.when(line.rlike("[0-9]"), masked(line)).otherwise(line)
+    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
 
 
 def _forms(text: Column) -> Column:
-    return F.transform(F.split(masked(F.coalesce(text, F.lit(""))), "\n"), _form)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _form)
+
+
+def _once(value: Column) -> Column:
+    """A generator of one row: what is above reads the value and can't work it out again."""
+    return F.explode(F.array(value))
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_share: float) -> DataFrame:
     """``(_id, _drop)``: per document id the hashes of the line forms to drop."""
-    forms = docs.select(F.col(id_col).alias("_id"), F.array_distinct(_forms(F.col(text_col))).alias("_forms"))
-    forms = forms.withColumn("_sig", F.array_min(F.transform(F.filter("_forms", lambda f: f != ""), lambda f: F.xxhash64(f))))
-    lines = forms.select("_id", "_sig", F.explode("_forms").alias("_form"))
-    lines = lines.withColumn("_tokens", F.split("_form", " ")).filter(F.size("_tokens") >= MIN_TOKENS)
-    lines = lines.select("_id", "_sig", "_tokens", F.xxhash64("_form").alias("_line"), F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, DEPTH)).alias("_leaf"))
+    formed = docs.select(F.col(id_col).alias("_id"), _once(F.array_distinct(_forms(F.col(text_col)))).alias("_forms"))
+    formed = formed.withColumn("_sig", F.array_min(F.transform(F.filter("_forms", lambda f: f != ""), lambda f: F.xxhash64(f))))
+    by_line = formed.select("_id", "_sig", F.explode("_forms").alias("_form"))
+    by_line = by_line.select("_id", "_sig", "_form", _once(F.split("_form", " ")).alias("_tokens")).filter(F.size("_tokens") >= MIN_TOKENS)
+    leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, DEPTH))
+    lines = cut(by_line.select("_id", "_sig", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf")))  # hashes only
 
     def often(rows: DataFrame, key: str) -> DataFrame:
         """Keys found under enough signatures; counted in two steps, so that no key's rows meet."""
@@ -58,17 +65,24 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
         both = per_sig.groupBy(key).agg(F.count("*").alias("_sigs"), F.sum("_n").alias("_docs"))
         return both.filter((F.col("_sigs") >= min_docs) & (F.col("_sigs") >= min_share * F.col("_docs"))).select(key)
 
-    exact = lines.select("_id", "_line", "_sig").join(often(lines, "_line"), "_line", "left_semi").select("_id", "_line")
-
-    # leaves that recur: generalise the tails of their lines
-    busy = lines.join(often(lines, "_leaf"), "_leaf", "left_semi")
-    tails = busy.select("_leaf", F.posexplode(F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens"))).alias("_pos", "_token"))
-    counts = tails.groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n"))
+    recurs = cut(often(lines, "_line"))
+    exact = lines.join(recurs, "_line", "left_semi").select("_id", "_line")
+
+    # other lines of leaves that recur: generalise their tails
+    open_ = lines.join(often(lines, "_leaf"), "_leaf", "left_semi").join(recurs, "_line", "left_anti")
+    wanted = open_.groupBy("_id").agg(F.collect_set("_line").alias("_open"))
+    again = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    some = again.join(wanted, F.col("_key").eqNullSafe(F.col("_id")))
+    some = some.select("_id", _once(F.array_distinct(_forms(F.col("_text")))).alias("_forms"), "_open")
+    some = some.withColumn("_sig", F.array_min(F.transform(F.filter("_forms", lambda f: f != ""), lambda f: F.xxhash64(f))))
+    some = some.select("_id", "_sig", F.explode(F.filter("_forms", lambda f: F.array_contains("_open", F.xxhash64(f)))).alias("_form")).withColumn("_tokens", F.split("_form", " "))
+    busy = cut(some.select("_id", "_sig", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf"), F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")).alias("_tail")))
+    counts = busy.select("_leaf", F.posexplode("_tail").alias("_pos", "_token")).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n"))
     modal = counts.groupBy("_leaf", "_pos").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
     stays = modal.filter(F.col("_top._n") >= F.greatest(F.col("_all") * STAYS, F.lit(float(min_docs))))
     template = stays.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.col("_top._token")))).alias("_template"))
-    same = F.size(F.filter(F.transform(F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")), lambda t, i: t == F.col("_template")[i]), lambda x: x))
-    agreeing = busy.join(template, "_leaf").filter(same >= AGREES * (F.size("_tokens") - DEPTH)).select("_id", "_line", "_sig", "_leaf")
+    same = F.size(F.filter(F.transform("_tail", lambda t, i: t == F.col("_template")[i]), lambda x: x))
+    agreeing = cut(busy.join(template, "_leaf").filter(same >= AGREES * F.size("_tail")).select("_id", "_line", "_sig", "_leaf"))
     general = agreeing.join(often(agreeing, "_leaf"), "_leaf", "left_semi").select("_id", "_line")
     return exact.unionByName(general).groupBy("_id").agg(F.collect_set("_line").alias("_drop"))
 
