@@ -41,7 +41,8 @@ HOST_RULES = (HostRule("net", "/", "block"), HostRule("example.net", "/en/", "al
 PATTERN_RULES = (
     PatternRule(r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     PatternRule(r"[./-]casino[./-]", ("casino",)),
-    PatternRule(r"[./-](free|cheap)-?(pills|viagra)[./?-]", ("viagra",)),
+    PatternRule(r"[./-](free|cheap)-pills[./?-]", ("pills",)),
+    PatternRule(r"[./-]viagra[./?-]", ("viagra",)),
     PatternRule(r"[./-]online-pharmacy[./-]", ("online", "pharmacy")),
     PatternRule(r"[./-]porn[./-]", ("porn",)),
     PatternRule(r"[./-]xxx[./-]", ("xxx",)),
