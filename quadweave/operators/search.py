@@ -45,7 +45,10 @@ def bm25(entries: DataFrame, query: str, fields: dict[str, float] | None = None,
             test = test | (F.levenshtein(word, F.lit(term), most) >= 0)
         return test
 
-    counts = F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("words", lambda w, t=t: hit(w, t))).alias("tf")) for t in asked))
+    def times(term: str) -> Column:
+        return F.size(F.filter("words", lambda word: hit(word, term)))
+
+    counts = F.array(*(F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in asked))
     average = size.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     tf = size.select("id", "field", "boost", "len", F.inline(counts)).filter("tf > 0")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
