@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +25,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+#: Bytes of text that a worker takes up together, about; one longer text is still taken whole.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], *names: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in smaller batches, so that what is worked out per word stays small."""
+    for batch in batches:
+        lengths = sum(pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy(zero_copy_only=False).astype("int64") for n in names)
+        part = np.cumsum(lengths) // size
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if part.size else np.zeros(0, "int64")
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def words_of(texts: pa.Array) -> Words:
     """Words are runs of anything but ASCII white space."""
     parts = pc.ascii_split_whitespace(texts)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
-from ._words import Words, texts_of, words_of
+from ._words import Words, slices, texts_of, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 n, h1, h2, sig = [], [], [], []
                 for hashes in shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text"))))):
                     n.append(hashes.size)
@@ -125,7 +125,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches, "text_a", "text_b"):
                 one = shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text_a")))))
                 two = shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text_b")))))
                 good = []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut
-from ._words import texts_of, words_of
+from ._words import slices, texts_of, words_of
 
 CAPACITY = 4096
 #: Rows of one length that one window partition ranks, about.
@@ -156,7 +156,7 @@ def token_pieces(
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, "text", size=8 << 20):
             keys = batch.column("id")
             ids, starts = tok.encode(texts_of(batch.column("text")))
             data = memoryview(ids.tobytes())

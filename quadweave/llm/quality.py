@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import Words, sums, texts_of, words_of
+from ._words import Words, slices, sums, texts_of, words_of
 
 COMMON = {
     "en": "the of and to in that is was for it with as his on be at by had not but from are this have which you or were her an they one all would there".split(),
@@ -136,7 +136,7 @@ def references(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(COMMON), N_CLASSES + len(WORDS) + 1), "int64")
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = texts_of(batch.column("text"))
             common = common_counts(words_of(texts))
             of, counts = language(common), np.hstack([class_counts(texts), common])
@@ -168,7 +168,7 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     chars_ref, common_ref = references(docs, text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             texts = texts_of(batch.column("_text"))
             words = words_of(texts)
             n_words, classes = np.diff(words.offsets), class_counts(texts)

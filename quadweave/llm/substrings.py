@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
+from ._words import slices
 
 LENGTH, GRAM = 400, 64
 #: Contexts that one task sorts together, about, and the most that one anchor may bring there.
@@ -237,7 +238,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 out: list[list] = [[], [], [], [], []]
                 keys = batch.column("key")
                 for i, text in enumerate(batch.column("text").to_pylist()):
@@ -254,7 +255,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gk", "key", "position", "first", "last", "bytes"]
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
             for key, text, at in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 data = text.encode()
@@ -316,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty = hashlib.sha256(b"").hexdigest()
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for key_, text_, spans_ in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data, kept, at, n_removed, n_spans = text_.encode(), [], 0, 0, 0

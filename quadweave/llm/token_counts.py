@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import sums, texts_of, words_of
+from ._words import slices, sums, texts_of, words_of
 from .packing import _byte_letters
 
 _automata: dict[str, "PieceAutomaton"] = {}
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         pieces = automaton(vocabulary)
         letters = dict(enumerate(_byte_letters()))
         space = letters[32]
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = texts_of(batch.column("text"))
             words = words_of(texts)
             per_word = np.array([pieces.count(space + w.encode().decode("latin-1").translate(letters)) for w in words.distinct.to_pylist()], "int64")
