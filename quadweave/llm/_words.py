@@ -19,10 +19,15 @@ class Words(NamedTuple):
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """As one array of non-null strings; a null text is an empty one."""
+    """As one array of non-null strings whose buffers begin with its first row; a null text is an empty one.
+
+    The copy matters for a slice: Arrow's ``ascii_lower`` gives a slice's
+    offsets into the whole buffer to the slice's own bytes.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    whole = pc.fill_null(column.cast(pa.large_string()), "")
+    return whole.take(pa.array(np.arange(len(whole))))
 
 
 #: Bytes of text that a worker takes up together, about; one longer text is still taken whole.
