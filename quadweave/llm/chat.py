@@ -23,12 +23,14 @@ def passages(messages: DataFrame) -> DataFrame:
 
     Levels are told per message by array functions, so no message's lines are
     shuffled.  Blank lines end a passage.  Case, punctuation and spacing don't
-    count; a passage without letters or digits is left out.
+    count; a passage without letters or digits is left out.  Repeated messages
+    count once.
     """
+    messages = messages.withColumn("_m", F.xxhash64("role", "text")).dropDuplicates(["conv_id", "turn", "_m"])
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
     prefix = lambda line: F.regexp_extract(line, QUOTE, 0)
     levelled = F.transform(lines, lambda line: F.struct(F.length(F.regexp_replace(prefix(line), "[^>]", "")).alias("level"), F.regexp_replace(line, QUOTE, "").alias("body")))
-    rows = messages.select("conv_id", "turn", F.posexplode(levelled).alias("at", "line"), F.xxhash64("role", "text").alias("_m"))
+    rows = messages.select("conv_id", "turn", F.posexplode(levelled).alias("at", "line"), "_m")
     rows = rows.withColumn("blank", ~F.col("line.body").rlike(r"[\p{L}\p{N}]"))
     w = Window.partitionBy("conv_id", "turn", "_m").orderBy("at")
     starts = F.col("blank") | F.coalesce(F.lag("blank").over(w), F.lit(True)) | (F.col("line.level") != F.coalesce(F.lag("line.level").over(w), F.lit(-1)))

@@ -185,3 +185,10 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     for field in METRICS.split(", "):
         schema = schema.add(*field.split())
     return docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text_col).cast("string").alias("_text")).mapInArrow(rate, schema)
+
+
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with all their columns, whatever their names."""
+    numbered = [f"_{i}" for i in range(len(docs.columns))]
+    judged = judge(docs.toDF(*numbered), numbered[docs.columns.index(text_col)])
+    return judged.filter("kept").select(*numbered).toDF(*docs.columns)

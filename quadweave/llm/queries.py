@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, near_dups, neighbours, packing, quality, substrings, token_counts, urls
+from . import chat, lines, mixing, near_dups, neighbours, oracles, packing, quality, substrings, token_counts, urls
 from ._common import table
 
 #: The vocabulary files' names; their folder is the tokenizer package's.
@@ -37,7 +37,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    """The contract's columns; the operator also tells the two distances."""
+    return quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("chars_distance", "common_distance")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.ORACLE_SQL}
+    return dict(oracles.SQL)
