@@ -5,9 +5,9 @@ function's minimum over a document's five-word shingles.  Bands of registers
 propose candidates, a collision-corrected estimate drops the hopeless ones,
 and whole shingle sets decide.  Documents with equal sets are one class from
 the start, however many they are.  A band's bucket never emits all its pairs:
-its members are first compared with one leader, which joins most of a group of
-copies, and only pairs of members that are still in different components are
-looked at after that, all of them.
+its members are first compared with one leader, then with others, which joins
+most of a group of copies, and only pairs of members that are still in
+different components are looked at after that, all of them.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ from ._common import cut
 from ._words import Words, slices, texts_of, words_of
 
 SHINGLE = 5
-BANDS, ROWS = 28, 5
+#: At the threshold a pair shares no band once in 80,000 times.
+BANDS, ROWS = 36, 8
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Links: ``100 * intersection >= THRESHOLD * union``.
 THRESHOLD = 85
 #: Candidates pass whose estimate is within this many standard errors of the threshold.
 ERRORS = 6.0
-#: Rounds of leaders before all remaining pairs are looked at, and so many pairs per row to stop at.
-LEADER_ROUNDS, FEW_PAIRS = 6, 3
+#: Leaders of a bucket in each round before all remaining pairs are looked at; the first round's is the smallest id.
+LEADERS = (1, 1, 16)
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -116,7 +117,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 good = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long").distinct()
+    return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -139,7 +140,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every linked id: smallest labels spread and jump until none changes."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    links = links.filter("a <> b").distinct()
+    edges = cut(links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -171,39 +173,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(wanted.join(near.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
     n_near = near.count()
 
-    links = checked = None
     labels = near.select("id", F.col("id").alias("component")).distinct()
 
     def settle(pairs: DataFrame) -> None:
-        """Looks at new pairs and joins components."""
-        nonlocal links, checked, labels
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        good = cut(_confirmed(_likely(pairs, near), texts))
-        links = good if links is None else links.union(good)
-        checked = pairs if checked is None else checked.union(pairs)
-        found = components(links)
-        labels = near.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-    for round_ in range(LEADER_ROUNDS if n_near else 0):
+        """Looks at pairs of different components and joins those components."""
+        nonlocal labels
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        good = _confirmed(_likely(pairs, near), texts)
+        ends = good.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        labels = cut(labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+
+    for round_, leaders in enumerate((*LEADERS, None) if n_near else ()):
         placed = cut(bands.join(labels, "id"))
-        if round_:
-            # pairs of members in different components, by bucket
-            per = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-            left = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0)).alias("left")).first()["left"]
-            if left <= FEW_PAIRS * BANDS * n_near:
-                break
-        order = F.col("id") if not round_ else F.xxhash64("key", "id", F.lit(round_))
-        leader = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("lead"), F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max")
-        settle(placed.join(leader.select("key", "lead"), "key").filter("component <> lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
-    if n_near:
-        placed = cut(bands.join(labels, "id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select("key")
-        open_ = placed.join(mixed, "key", "left_semi")
-        other = open_.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        settle(open_.join(other, "key").filter("id < b and component <> other").select(F.col("id").alias("a"), "b"))
+        order = F.xxhash64("key", "id", F.lit(round_)) if round_ else F.col("id")
+        open_ = placed.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max"), F.count("*").alias("_n"), F.min_by("id", order).alias("_first")).filter("_min <> _max")
+        members = placed.join(open_.select("key", "_n", "_first"), "key")
+        chosen = members.filter("id = _first") if leaders == 1 else members
+        if leaders and leaders > 1:
+            chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(round_)), F.ceil(F.col("_n") / leaders)) == 0)
+        chosen = chosen.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+        meet = members.join(chosen, "key").filter("component <> other")
+        settle((meet if leaders else meet.filter("id < b")).select(F.col("id").alias("a"), "b"))
 
     found = classes.select("h1", "h2", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left")
