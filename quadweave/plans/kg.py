@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import quads as Q
 from .. import vocab as V
 from ..functions import scalars as S
-from ..operators import check, graph, retrieve, scope, search, stats
+from ..emit import text
+from ..operators import check, derive, graph, retrieve, scope, search, stats
+from ..sources import markdown
 from ..sources import relational as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,3 +314,32 @@ def q_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.explode(F.array(*map(F.lit, ("brand#11", "brand#2", "brnd#33")))).alias("word")
     rows = R.read(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("b"), words)
     return rows.withColumn("distance", F.levenshtein("b", "word", 2)).filter("distance >= 0").select("p_partkey", "word", F.col("distance").cast("bigint").alias("distance"))
+
+
+_FILE = "'urn:quadweave:doc/conv/' || conv_id || '.md'"
+_BUILD = " union all ".join([
+    _iri("c", _FILE, V.RDF_TYPE, f"'{V.DOCUMENT}'"), _lit("c", _FILE, V.PATH, "'conv/' || conv_id || '.md'"), _lit("c", _FILE, V.CONTENT_HASH, "sha256(content)"), _lit("c", _FILE, V.TITLE, "'conv ' || conv_id"),
+    _iri("h", "s", V.RDF_TYPE, f"'{V.SECTION}'"), _lit("h", "s", V.TITLE, "title"), _lit("h", "s", V.LEVEL, "level"), _lit("h", "s", V.ORDER, "k"), _iri("h", "parent", V.HAS_PART, "s"),
+])
+
+
+@query(
+    "with t as (select conv_id, role, replace(text, chr(10), ' ') as text, row_number() over (partition by conv_id order by turn, role, text) as k, row_number() over (partition by conv_id, role order by turn, text) - 1 as again from conversations), "
+    "c as (select conv_id, '# conv ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || text || chr(10), '' order by k) as content from t group by 1), "
+    f"h as (select {_FILE} || '#conv-' || conv_id as s, 'conv ' || conv_id as title, 1 as level, 1 as k, {_FILE} as parent from c union all select {_FILE} || '#' || role || case when again > 0 then '-' || again else '' end, role, 2, k, {_FILE} || '#conv-' || conv_id from t) "
+    + _BUILD
+)
+def q_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = chats(spark, sf_dir).select(F.concat(F.regexp_replace("doc", "^urn:kg:", ""), F.lit(".md")).alias("path"), "content")
+    return derive.derive(markdown.parse(files), derive.Options(sources=("frontmatter", "sections"))).select("s", "p", "o_kind", "o_value")
+
+
+_SHORT = f"case when o_kind = 'iri' then case when starts_with(o_value, '{V.NS}') then 'qw:' || substr(o_value, {len(V.NS) + 1}) else '<' || o_value || '>' end else '\"' || replace(replace(o_value, '\\', '\\\\'), '\"', '\\\"') || '\"' end"
+
+
+@query(
+    f"with o as (select s, p, string_agg({_SHORT}, ', ' order by o_kind, o_value) as objects from (select distinct s, p, o_kind, o_value from ({_STAR})) group by 1, 2) "
+    f"select s, '<' || s || '> ' || string_agg(case when p = '{V.RDF_TYPE}' then 'a' else 'dcterms:' || substr(p, {len(V.PREFIXES['dcterms']) + 1}) end || ' ' || objects, ' ;' || chr(10) || '  ' order by p <> '{V.RDF_TYPE}', p) || ' .' as block from o group by s"
+)
+def q_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.turtle_blocks(Q.dedupe(R.star(spark, sf_dir)))

@@ -9,6 +9,7 @@ PREFIXES = {
     "dcterms": "http://purl.org/dc/terms/",
     "foaf": "http://xmlns.com/foaf/0.1/",
     "iirds": "http://iirds.tekom.de/iirds#",
+    "iirdsSft": "http://iirds.tekom.de/iirds/domain/software#",
     "prov": "http://www.w3.org/ns/prov#",
     "qw": NS,
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
@@ -32,8 +33,9 @@ PATH, CONTENT_HASH, LEVEL, ORDER, LABEL = iri("qw:path"), iri("qw:contentHash"),
 BROKEN_LINK, BROKEN_SECTION = iri("qw:brokenLink"), iri("qw:brokenSection")
 DOCUMENT, SECTION, CONCEPT = iri("qw:Document"), iri("qw:Section"), iri("skos:Concept")
 APPLIES_TO, NOT_APPLIES_TO = iri("iirds:relates-to-product-variant"), iri("qw:notApplicableTo")
-ASPECT, NOT_ASPECT, LIFECYCLE = iri("iirds:relates-to-information-subject"), iri("qw:notAboutSubject"), iri("iirds:relates-to-product-lifecycle-phase")
-TRANSLATION_OF, HAS_TRANSLATION = iri("qw:translationOf"), iri("qw:hasTranslation")
+ASPECT, NOT_ASPECT, LIFECYCLE = iri("iirds:has-subject"), iri("qw:notAboutSubject"), iri("iirds:relates-to-product-lifecycle-phase")
+TRANSLATION_OF, HAS_TRANSLATION = iri("schema:translationOfWork"), iri("schema:workTranslation")
+TOPIC_TYPE, IN_SCHEME = iri("iirds:has-topic-type"), iri("skos:inScheme")
 BROADER, NARROWER, RELATED = iri("skos:broader"), iri("skos:narrower"), iri("skos:related")
 PREF_LABEL, ALT_LABEL = iri("skos:prefLabel"), iri("skos:altLabel")
 XSD_STRING, XSD_INTEGER, XSD_DATE, XSD_DATETIME = iri("xsd:string"), iri("xsd:integer"), iri("xsd:date"), iri("xsd:dateTime")
@@ -43,7 +45,7 @@ QUADS = T.StructType().add("s", "string").add("p", "string").add("o_kind", "stri
 #: Document coverage fields in report order.
 COVERAGE = {
     "title": TITLE, "description": DESCRIPTION, "creator": CREATOR, "created": CREATED, "modified": MODIFIED, "subject": SUBJECT,
-    "label": LABEL, "language": LANGUAGE, "type": iri("qw:topicType"), "applies-to": APPLIES_TO,
+    "label": LABEL, "language": LANGUAGE, "type": TOPIC_TYPE, "applies-to": APPLIES_TO,
     "about-product-lifecycle": LIFECYCLE, "about-product-aspect": ASPECT,
 }
 SECTION_COVERAGE = {k: COVERAGE[k] for k in ("type", "applies-to", "about-product-lifecycle", "about-product-aspect", "subject")}
@@ -51,5 +53,7 @@ TOPIC_TYPES = {t: iri(f"iirds:Generic{t.capitalize()}") for t in ("task", "conce
 PAGE_TYPES = {"how-to": "task", "tutorial": "learning", "explanation": "concept", "reference": "reference", "troubleshooting": "troubleshooting"}
 LIFECYCLE_PHASES = ("administration", "customization", "update", "deployment", "integration", "deinstallation")
 ASPECTS = ("architecture", "interface", "system-requirement")
+LIFECYCLE_IRIS = {x: iri(f"iirdsSft:{x.capitalize()}") for x in LIFECYCLE_PHASES}
+ASPECT_IRIS = {x: iri("iirdsSft:" + x.title().replace("-", "")) for x in ASPECTS}
 FILL_FIELDS = ("label", "alt-labels", "broader", "narrower", "related", "concepts", "type", "applies-to", "not-applicable-to", "about-product-lifecycle", "about-product-aspect", "not-about-product-aspect")
 UNDETERMINED = "und"
