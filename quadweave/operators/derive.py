@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import quads as Q
 from .. import vocab as V
 from ..functions import scalars as S
+from ..store import cut
 from .links import Route, resolve, route_language
 
 SOURCES = ("frontmatter", "sections", "links", "tags", "images", "code", "provenance")
@@ -60,7 +61,8 @@ class Rules:
 
     def __init__(self, model: DataFrame, options: Options) -> None:
         self.o, self.base = options, S.base_iri(options.base)
-        self.model = model.filter("error is null").withColumn("path", S.doc_path("path")).withColumn("doc", S.doc_iri("path", options.base))
+        # parsed once, read by every rule
+        self.model = cut(model.filter("error is null").withColumn("path", S.doc_path("path")).withColumn("doc", S.doc_iri("path", options.base)))
         self.prov = "provenance" in options.sources
 
     def concept(self, df: DataFrame, label: Column) -> DataFrame:
