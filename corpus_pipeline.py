@@ -12,6 +12,8 @@ from quadweave.llm import lines, mixing, near_dups, packing, quality
 from quadweave.llm._common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Least similarity of near copies in percent; the op10 query has its own.
+NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dups.drop_near_duplicates(docs)
+    return near_dups.drop_near_duplicates(docs, threshold=NEAR)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

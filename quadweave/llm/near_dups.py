@@ -12,7 +12,10 @@ different components are looked at after that, all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +28,48 @@ from ._common import cut
 from ._words import Words, slices, texts_of, words_of
 
 SHINGLE = 5
-#: At the threshold a pair shares no band once in 80,000 times.
-BANDS, ROWS = 36, 8
-REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Links: ``100 * intersection >= THRESHOLD * union``.
+#: Links: ``100 * intersection >= threshold * union``; this one is the op10 query's.
 THRESHOLD = 85
+#: At the threshold a pair shares no band once in so many times; a band has the most rows with which all bands fit in so many registers.
+MISSED, MOST_REGISTERS = 80_000, 360
 #: Candidates pass whose estimate is within this many standard errors of the threshold.
 ERRORS = 6.0
 #: Leaders of a bucket in each round before all remaining pairs are looked at; the first round's is the smallest id.
 LEADERS = (1, 1, 16)
 
-_rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 63, REGISTERS, dtype="uint64") * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, REGISTERS, dtype="uint64")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Bands(NamedTuple):
+    bands: int
+    rows: int
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+
+def bands_for(threshold: int) -> Bands:
+    """Bands that miss a pair at the threshold once in ``MISSED`` times; 36 of 8 rows at 85, 48 of 7 at 80."""
+    s, found = threshold / 100, Bands(1, 1)
+    if not 0 < s < 1:
+        raise ValueError("the threshold is a percentage between 0 and 100")
+    for rows in range(1, MOST_REGISTERS + 1):
+        plan = Bands(math.ceil(math.log(MISSED) / -math.log1p(-(s**rows))), rows)
+        if rows > 1 and plan.registers > MOST_REGISTERS:
+            break
+        found = plan
+    return found
+
+
+@lru_cache(maxsize=4)
+def _functions(registers: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    a = rng.integers(0, 1 << 63, registers, dtype="uint64") * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 1 << 63, registers, dtype="uint64")
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -69,24 +97,25 @@ def shingle_sets(words: Words, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.array([], "uint64")
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray, n: int) -> np.ndarray:
     """Leading zeros and mantissa of each hash function's minimum, as unsigned 16-bit numbers."""
-    low = np.full(REGISTERS, np.iinfo("uint64").max, "uint64")
+    factors, terms = _functions(n)
+    low = np.full(n, np.iinfo("uint64").max, "uint64")
     for at in range(0, hashes.size, 2048):
-        low = np.minimum(low, (_A[:, None] * hashes[None, at : at + 2048] + _B[:, None]).min(axis=1))
+        low = np.minimum(low, (factors[:, None] * hashes[None, at : at + 2048] + terms[:, None]).min(axis=1))
     mantissa, exponent = np.frexp(low.astype("float64"))
     lead = (65 - exponent).astype("uint16")
     return (lead << np.uint16(MANTISSA)) | ((mantissa * 2 - 1) * (1 << MANTISSA)).clip(0, (1 << MANTISSA) - 1).astype("uint16")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from equal registers ``(pairs, REGISTERS)``, less those equal by chance."""
+    """Jaccard similarity from equal registers ``(pairs, registers)``, less those equal by chance."""
     n, m = n.astype("float64"), m.astype("float64")
     chance = 0.72 / (1 << MANTISSA) * n * m / (n + m) ** 2
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, n_registers: int) -> DataFrame:
     """``(id, n, h1, h2, sig)``; ``h1, h2`` name the shingle set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,30 +126,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     n.append(hashes.size)
                     h1.append(int(hashes.sum(dtype="uint64").astype("int64")))
                     h2.append(int(_mixed(hashes ^ _P).sum(dtype="uint64").astype("int64")))
-                    sig.append(registers(hashes).tobytes() if hashes.size else None)
+                    sig.append(registers(hashes, n_registers).tobytes() if hashes.size else None)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, "int64"), pa.array(h1, "int64"), pa.array(h2, "int64"), pa.array(sig, "binary")], ["id", "n", "h1", "h2", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "id long, n long, h1 long, h2 long, sig binary")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, n_registers: int) -> DataFrame:
     """Pairs ``(a, b)`` whose estimated similarity may reach the threshold."""
     signed = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-    sized = signed.filter((100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")))
-    s = THRESHOLD / 100
-    least = s - ERRORS * (s * (1 - s) / REGISTERS) ** 0.5
+    sized = signed.filter((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
+    s = threshold / 100
+    least = s - ERRORS * (s * (1 - s) / n_registers) ** 0.5
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "uint16").reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "uint16").reshape(-1, n_registers) for c in ("sig_a", "sig_b"))
                 good = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose whole shingle sets are similar enough; both texts meet row by row."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -132,7 +161,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good = []
                 for x, y in zip(one, two, strict=True):
                     both_ = np.intersect1d(x, y, assume_unique=True).size
-                    good.append(both_ > 0 and 100 * both_ >= THRESHOLD * (x.size + y.size - both_))
+                    good.append(both_ > 0 and 100 * both_ >= threshold * (x.size + y.size - both_))
                 yield batch.select(["a", "b"]).filter(pa.array(good, "bool"))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
@@ -153,18 +182,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per document.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased.  A
     text with fewer than five words is one shingle; a null or blank text is
     empty and linked with nothing.  A null id is linked with nothing and kept,
     with a null component; rows that share an id are one document.
+    ``threshold`` is the least similarity of a link in percent.
     """
-    signed = cut(signatures(docs, id_col, text_col))
+    plan = bands_for(threshold)
+    signed = cut(signatures(docs, id_col, text_col, plan.registers))
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
     reps = classes.select(F.col("rep").alias("id"), "n", "sig")
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS))))
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 2 * plan.rows * b + 1, 2 * plan.rows)) for b in range(plan.bands))))
     bands = reps.select("id", keys.alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("_min"), F.max("id").alias("_max")).filter("_min <> _max")
     bands = cut(bands.join(shared.select("key"), "key", "left_semi").distinct())
@@ -179,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Looks at pairs of different components and joins those components."""
         nonlocal labels
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = _confirmed(_likely(pairs, near), texts)
+        good = _confirmed(_likely(pairs, near, threshold, plan.registers), texts, threshold)
         ends = good.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
         joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
         labels = cut(labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
@@ -202,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
