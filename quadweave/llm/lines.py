@@ -5,10 +5,13 @@ fixed depth: token count, then the first ``DEPTH`` tokens; a leaf's lines are
 generalised position by position, a token that most of them share staying and
 any other becoming variable.  A line belongs to a recurring template if its
 masked form, or its leaf's generalised template when the line agrees with it,
-is found in enough unrelated documents.  Documents are unrelated by their
-signature, the smallest hash of their lines: copies and near copies of one
-document share it, so that copied documents are left to the near-duplicate
-stage, whole, and only lines that travel between documents are dropped.
+is found in enough unrelated documents.  Of the documents that hold a line,
+each is judged by its other lines: it counts as one in ``m``, the median over a
+sketch of those lines of how many of the documents hold them too.  One that
+shares less than half of its other lines counts in full, whatever headers they
+have in common, and a group of copies or near copies counts as about one, so
+that copied documents are left to the near-duplicate stage, whole, and only
+lines that travel between documents are dropped.
 """
 
 from __future__ import annotations
@@ -20,10 +23,14 @@ from ._common import SPACE, cut
 
 DEPTH = 3
 MIN_TOKENS = DEPTH + 1
+#: Lines of a document, those with the smallest hashes, by which it is told from others.
+SKETCH = 8
 #: Unrelated documents from which a template recurs, and their least share of the documents that hold it.
 MIN_DOCS, MIN_SHARE = 4, 0.2
 #: A leaf's token stays in its template if that share of the leaf's lines has it; a line agrees if that share of its tail does.
 STAYS, AGREES = 0.5, 0.75
+#: For sums of fractions that should reach a whole number.
+SLACK = 1e-6
 
 
 def masked(text: Column) -> Column:
@@ -50,40 +57,66 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
+    """``(_id, _doc, _forms, _hashes)`` and columns carried along; documents with the same forms share ``_doc``."""
+    formed = docs.select(F.col(id_col).alias("_id"), *carry, _once(F.filter(F.array_distinct(_forms(F.col(text_col))), lambda f: f != "")).alias("_forms"))
+    return formed.withColumn("_hashes", _once(F.transform("_forms", lambda f: F.xxhash64(f)))).withColumn("_doc", F.xxhash64("_hashes"))
+
+
+def _recurs(rows: DataFrame, key: str, sketches: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """``(key, _doc)`` from ``(key, _doc, _line)``: the keys found in enough unrelated documents, and those documents.
+
+    Counts are partly summed before they are dealt, and documents with the same
+    lines are one row, so that no key's rows meet.
+    """
+    held = rows.groupBy(key, "_doc").agg(F.min("_line").alias("_own")).join(sketches, "_doc")
+    enough = held.groupBy(key).agg(F.sum("_n").alias("_rows")).filter(F.col("_rows") >= min_docs)
+    others = F.array_remove("_sketch", F.col("_own"))
+    others = F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(0).cast("long")))
+    held = cut(held.join(enough.select(key), key, "left_semi").select(key, "_doc", "_n", others.alias("_others")))
+    spread = held.select(key, "_doc", "_n", F.explode("_others").alias("_other"))
+    shared = spread.groupBy(key, "_other").agg(F.sum("_n").alias("_with")).filter("_with > 1")
+    judged = spread.join(shared, [key, "_other"], "left").groupBy(key, "_doc", "_n").agg(F.sort_array(F.collect_list(F.coalesce("_with", F.lit(1).cast("long")))).alias("_withs"))
+    judged = cut(judged.select(key, "_doc", "_n", F.element_at("_withs", F.floor((F.size("_withs") + 1) / 2).cast("int")).alias("_m")))
+    found = judged.groupBy(key).agg(F.sum(F.col("_n") / F.col("_m")).alias("_unrelated"), F.sum("_n").alias("_rows"))
+    found = found.filter((F.col("_unrelated") >= min_docs - SLACK) & (F.col("_unrelated") >= min_share * F.col("_rows") - SLACK))
+    return judged.join(found.select(key), key, "left_semi").select(key, "_doc")
+
+
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_share: float) -> DataFrame:
     """``(_id, _drop)``: per document id the hashes of the line forms to drop."""
-    formed = docs.select(F.col(id_col).alias("_id"), _once(F.array_distinct(_forms(F.col(text_col)))).alias("_forms"))
-    formed = formed.withColumn("_sig", F.array_min(F.transform(F.filter("_forms", lambda f: f != ""), lambda f: F.xxhash64(f))))
-    by_line = formed.select("_id", "_sig", F.explode("_forms").alias("_form"))
-    by_line = by_line.select("_id", "_sig", "_form", _once(F.split("_form", " ")).alias("_tokens")).filter(F.size("_tokens") >= MIN_TOKENS)
+    formed = _lines(docs, id_col, text_col)
+    by_line = formed.select("_id", "_doc", F.slice(F.sort_array("_hashes"), 1, SKETCH).alias("_sketch"), F.posexplode("_forms").alias("_at", "_form"))
+    tokens_ = _once(F.split("_form", " ")).alias("_tokens")
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, DEPTH))
-    lines = cut(by_line.select("_id", "_sig", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf")))  # hashes only
+    by_line = by_line.select("_id", "_doc", F.when(F.col("_at") == 0, F.col("_sketch")).alias("_sketch"), "_form", tokens_)
+    every = cut(by_line.select("_id", "_doc", "_sketch", (F.size("_tokens") >= MIN_TOKENS).alias("_long"), F.xxhash64("_form").alias("_line"), leaf.alias("_leaf")))  # hashes only
+    sketches = cut(every.filter("_sketch is not null").groupBy("_doc").agg(F.first("_sketch").alias("_sketch"), F.count("*").alias("_n")))
+    lines = every.filter("_long").drop("_sketch", "_long")
 
-    def often(rows: DataFrame, key: str) -> DataFrame:
-        """Keys found under enough signatures; counted in two steps, so that no key's rows meet."""
-        per_sig = rows.groupBy(key, "_sig").agg(F.count("*").alias("_n"))
-        both = per_sig.groupBy(key).agg(F.count("*").alias("_sigs"), F.sum("_n").alias("_docs"))
-        return both.filter((F.col("_sigs") >= min_docs) & (F.col("_sigs") >= min_share * F.col("_docs"))).select(key)
+    def held(rows: DataFrame, key: str) -> DataFrame:
+        """Those rows whose key is in ``min_docs`` rows at all."""
+        return cut(rows.join(rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= min_docs).select(key), key, "left_semi"))
 
-    recurs = cut(often(lines, "_line"))
-    exact = lines.join(recurs, "_line", "left_semi").select("_id", "_line")
+    often = held(lines, "_line")
+    recurs = cut(_recurs(often, "_line", sketches, min_docs, min_share))
+    exact = often.join(recurs, ["_line", "_doc"], "left_semi").select("_id", "_line")
 
     # other lines of leaves that recur: generalise their tails
-    open_ = lines.join(often(lines, "_leaf"), "_leaf", "left_semi").join(recurs, "_line", "left_anti")
+    rest = held(lines.join(recurs, ["_line", "_doc"], "left_anti"), "_leaf")
+    open_ = rest.join(_recurs(rest, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi")
     wanted = open_.groupBy("_id").agg(F.collect_set("_line").alias("_open"))
     again = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    some = again.join(wanted, F.col("_key").eqNullSafe(F.col("_id")))
-    some = some.select("_id", _once(F.array_distinct(_forms(F.col("_text")))).alias("_forms"), "_open")
-    some = some.withColumn("_sig", F.array_min(F.transform(F.filter("_forms", lambda f: f != ""), lambda f: F.xxhash64(f))))
-    some = some.select("_id", "_sig", F.explode(F.filter("_forms", lambda f: F.array_contains("_open", F.xxhash64(f)))).alias("_form")).withColumn("_tokens", F.split("_form", " "))
-    busy = cut(some.select("_id", "_sig", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf"), F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")).alias("_tail")))
+    some = _lines(again.join(wanted, F.col("_key").eqNullSafe(F.col("_id"))), "_key", "_text", "_open")
+    some = some.select("_id", "_doc", F.explode(F.filter("_forms", lambda f: F.array_contains("_open", F.xxhash64(f)))).alias("_form")).withColumn("_tokens", F.split("_form", " "))
+    busy = cut(some.select("_id", "_doc", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf"), F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")).alias("_tail")))
     counts = busy.select("_leaf", F.posexplode("_tail").alias("_pos", "_token")).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n"))
     modal = counts.groupBy("_leaf", "_pos").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
     stays = modal.filter(F.col("_top._n") >= F.greatest(F.col("_all") * STAYS, F.lit(float(min_docs))))
     template = stays.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.col("_top._token")))).alias("_template"))
     same = F.size(F.filter(F.transform("_tail", lambda t, i: t == F.col("_template")[i]), lambda x: x))
-    agreeing = cut(busy.join(template, "_leaf").filter(same >= AGREES * F.size("_tail")).select("_id", "_line", "_sig", "_leaf"))
-    general = agreeing.join(often(agreeing, "_leaf"), "_leaf", "left_semi").select("_id", "_line")
+    agreeing = cut(busy.join(template, "_leaf").filter(same >= AGREES * F.size("_tail")).select("_id", "_doc", "_line", "_leaf"))
+    general = agreeing.join(_recurs(agreeing, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi").select("_id", "_line")
     return exact.unionByName(general).groupBy("_id").agg(F.collect_set("_line").alias("_drop"))
 
 
