@@ -25,7 +25,7 @@ DEPTH = 3
 MIN_TOKENS = DEPTH + 1
 #: Lines of a document, those with the smallest hashes, by which it is told from others.
 SKETCH = 8
-#: Unrelated documents from which a template recurs, and their least share of the documents that hold it.
+#: Unrelated documents from which a template recurs, and their least share of a group of copies that is to lose it too.
 MIN_DOCS, MIN_SHARE = 4, 0.2
 #: A leaf's token stays in its template if that share of the leaf's lines has it; a line agrees if that share of its tail does.
 STAYS, AGREES = 0.5, 0.75
@@ -66,6 +66,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFram
 def _recurs(rows: DataFrame, key: str, sketches: DataFrame, min_docs: int, min_share: float) -> DataFrame:
     """``(key, _doc)`` from ``(key, _doc, _line)``: the keys found in enough unrelated documents, and those documents.
 
+    A member of a group of copies is left out where the unrelated documents are
+    fewer than ``min_share`` of the group; other documents don't depend on it.
     Counts are partly summed before they are dealt, and documents with the same
     lines are one row, so that no key's rows meet.
     """
@@ -78,9 +80,8 @@ def _recurs(rows: DataFrame, key: str, sketches: DataFrame, min_docs: int, min_s
     shared = spread.groupBy(key, "_other").agg(F.sum("_n").alias("_with")).filter("_with > 1")
     judged = spread.join(shared, [key, "_other"], "left").groupBy(key, "_doc", "_n").agg(F.sort_array(F.collect_list(F.coalesce("_with", F.lit(1).cast("long")))).alias("_withs"))
     judged = cut(judged.select(key, "_doc", "_n", F.element_at("_withs", F.floor((F.size("_withs") + 1) / 2).cast("int")).alias("_m")))
-    found = judged.groupBy(key).agg(F.sum(F.col("_n") / F.col("_m")).alias("_unrelated"), F.sum("_n").alias("_rows"))
-    found = found.filter((F.col("_unrelated") >= min_docs - SLACK) & (F.col("_unrelated") >= min_share * F.col("_rows") - SLACK))
-    return judged.join(found.select(key), key, "left_semi").select(key, "_doc")
+    found = judged.groupBy(key).agg(F.sum(F.col("_n") / F.col("_m")).alias("_unrelated")).filter(F.col("_unrelated") >= min_docs - SLACK)
+    return judged.join(found, key).filter(F.col("_unrelated") >= min_share * F.col("_m") - SLACK).select(key, "_doc")
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_share: float) -> DataFrame:

@@ -33,3 +33,13 @@ def test_near_copies_stay_whole(spark):
     base = own(rng, 20)
     texts = [(i, "\n".join([*base[:i], *own(rng, 1), *base[i + 1 :]])) for i in range(20)] + [(100 + i, "\n".join(base)) for i in range(5)]
     assert not any(dropped(spark, texts).values())
+
+
+def test_copies_do_not_keep_a_line_in_other_documents(spark):
+    rng = np.random.default_rng(13)
+    line, copied = own(rng, 1)[0], own(rng, 6)
+    alone = [(i, "\n".join([*own(rng, 3), line])) for i in range(20)]
+    copies = [(100 + i, "\n".join([*copied, line])) for i in range(300)]
+    got = dropped(spark, alone + copies)
+    assert {i: got[i] for i, _ in alone} == dropped(spark, alone) == {i: [line] for i, _ in alone}
+    assert not any(got[i] for i, _ in copies)
