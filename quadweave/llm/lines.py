@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ._common import SPACE, cut
 
 DEPTH = 3
-MIN_TOKENS = DEPTH + 1
 #: Lines of a document, those with the smallest hashes, by which it is told from others.
 SKETCH = 8
 #: Unrelated documents from which a template recurs, and their least share of a group of copies that is to lose it too.
@@ -91,9 +90,9 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
     tokens_ = _once(F.split("_form", " ")).alias("_tokens")
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, DEPTH))
     by_line = by_line.select("_id", "_doc", F.when(F.col("_at") == 0, F.col("_sketch")).alias("_sketch"), "_form", tokens_)
-    every = cut(by_line.select("_id", "_doc", "_sketch", (F.size("_tokens") >= MIN_TOKENS).alias("_long"), F.xxhash64("_form").alias("_line"), leaf.alias("_leaf")))  # hashes only
+    every = cut(by_line.select("_id", "_doc", "_sketch", (F.size("_tokens") > DEPTH).alias("_tailed"), F.xxhash64("_form").alias("_line"), leaf.alias("_leaf")))  # hashes only
     sketches = cut(every.filter("_sketch is not null").groupBy("_doc").agg(F.first("_sketch").alias("_sketch"), F.count("*").alias("_n")))
-    lines = every.filter("_long").drop("_sketch", "_long")
+    lines = every.drop("_sketch")
 
     def held(rows: DataFrame, key: str) -> DataFrame:
         """Those rows whose key is in ``min_docs`` rows at all."""
@@ -103,8 +102,8 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
     recurs = cut(_recurs(often, "_line", sketches, min_docs, min_share))
     exact = often.join(recurs, ["_line", "_doc"], "left_semi").select("_id", "_line")
 
-    # other lines of leaves that recur: generalise their tails
-    rest = held(lines.join(recurs, ["_line", "_doc"], "left_anti"), "_leaf")
+    # other lines of leaves that recur: generalise their tails; a shorter line is a leaf of its own
+    rest = held(lines.filter("_tailed").join(recurs, ["_line", "_doc"], "left_anti"), "_leaf")
     open_ = rest.join(_recurs(rest, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi")
     wanted = open_.groupBy("_id").agg(F.collect_set("_line").alias("_open"))
     again = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
@@ -125,8 +124,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(row, text, n_lines, n_dropped)``: each row as a struct, its text without recurring lines.
 
     Lines are separated by ``\\n``; what stays keeps its order and bytes.
-    Lines of fewer than ``MIN_TOKENS`` tokens always stay.  A null text stays
-    null with no lines; an empty one has one line.  Rows that share an id are
+    Blank lines always stay.  A null text stays null with no lines; an empty
+    one has one line.  Rows that share an id are
     each judged by the lines that recur under that id.
     """
     drops = recurring(docs, id_col, text_col, min_docs, min_share)

@@ -43,3 +43,12 @@ def test_copies_do_not_keep_a_line_in_other_documents(spark):
     got = dropped(spark, alone + copies)
     assert {i: got[i] for i, _ in alone} == dropped(spark, alone) == {i: [line] for i, _ in alone}
     assert not any(got[i] for i, _ in copies)
+
+
+def test_short_lines_recur(spark):
+    rng = np.random.default_rng(14)
+    short = ["Les.", "Read more", "All rights reserved.", "Page 7"]
+    texts = [(i, "\n".join([*own(rng, 3), "", *short, "", *own(rng, 3), f"Only w{chr(97 + i)}"])) for i in range(6)]
+    assert dropped(spark, texts) == {i: short for i in range(6)}
+    got = lines.drop_lines(spark.createDataFrame(texts, "doc_id long, text string")).select("n_lines", "n_dropped").distinct().collect()
+    assert [tuple(r) for r in got] == [(13, 4)]
