@@ -94,16 +94,17 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
     sketches = cut(every.filter("_sketch is not null").groupBy("_doc").agg(F.first("_sketch").alias("_sketch"), F.count("*").alias("_n")))
     lines = every.drop("_sketch")
 
+    # merged at any size: what grows with the table is not to be broadcast in a small one only
     def held(rows: DataFrame, key: str) -> DataFrame:
         """Those rows whose key is in ``min_docs`` rows at all."""
-        return cut(rows.join(rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= min_docs).select(key), key, "left_semi"))
+        return cut(rows.join(rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= min_docs).select(key).hint("merge"), key, "left_semi"))
 
     often = held(lines, "_line")
     recurs = cut(_recurs(often, "_line", sketches, min_docs, min_share))
-    exact = often.join(recurs, ["_line", "_doc"], "left_semi").select("_id", "_line")
+    exact = often.join(recurs.hint("merge"), ["_line", "_doc"], "left_semi").select("_id", "_line")
 
     # other lines of leaves that recur: generalise their tails; a shorter line is a leaf of its own
-    rest = held(lines.filter("_tailed").join(recurs, ["_line", "_doc"], "left_anti"), "_leaf")
+    rest = held(lines.filter("_tailed").join(recurs.hint("merge"), ["_line", "_doc"], "left_anti"), "_leaf")
     open_ = rest.join(_recurs(rest, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi")
     wanted = open_.groupBy("_id").agg(F.collect_set("_line").alias("_open"))
     again = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
