@@ -1,13 +1,22 @@
 """MinHash near-dedup with HyperMinHash registers.
 
-A register keeps the leading-zero count and the top mantissa bits of a hash
-function's minimum over a document's five-word shingles.  Bands of registers
-propose candidates, a collision-corrected estimate drops the hopeless ones,
-and whole shingle sets decide.  Documents with equal sets are one class from
-the start, however many they are.  A band's bucket never emits all its pairs:
-its members are first compared with one leader, then with others, which joins
-most of a group of copies, and only pairs of members that are still in
-different components are looked at after that, all of them.
+Each shingle is hashed once; some bits choose the register, the leading zeros
+and top mantissa bits of the rest are kept for the least hash of the register.
+Registers that a short text leaves empty are filled from others.  Bands of
+registers propose candidates, a collision-corrected estimate drops the hopeless
+ones, and whole shingle sets decide.  Documents with equal sets are one class
+from the start, however many they are.
+
+A small bucket's pairs are all looked at.  A large bucket never emits its
+pairs: all its members are compared with one of them, its centre ``c``, the
+member whose buckets hold most rows.  Two members ``x, y`` that are still in
+different components can then be linked in two ways only.  They share a shingle
+outside ``c``; as they share at least ``threshold * n_x - |x & c|`` of those, one
+lies among the first few of either's in hash order (prefix filter).  Or they
+don't, so that ``|x & y| <= min(|x & c|, |y & c|)``, which for most pairs is too
+few for their sizes.  Members that share such a shingle, or have such sizes, are
+the buckets of the next level, and so on; what is left after the last level is
+compared pair by pair.  Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -35,10 +44,15 @@ THRESHOLD = 85
 MISSED, MOST_REGISTERS = 80_000, 360
 #: Candidates pass whose estimate is within this many standard errors of the threshold.
 ERRORS = 6.0
-#: Leaders of a bucket in each round before all remaining pairs are looked at; the first round's is the smallest id.
-LEADERS = (1, 1, 16)
+#: Pairs of different components for each member up to which a bucket's are all looked at, and the levels at which larger ones have centres.
+SMALL, LEVELS = 24, 3
+#: Bits of a hash that choose its register, those that are ranked, and the other registers that an empty one looks at.
+INDEX_BITS, RANK_BITS, PROBES = 20, 44, 32
+#: Classes of size in as many shingles as a centre has.
+SIZE_CLASSES = 64
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.iinfo("uint64").max
 
 
 class Bands(NamedTuple):
@@ -64,10 +78,10 @@ def bands_for(threshold: int) -> Bands:
 
 
 @lru_cache(maxsize=4)
-def _functions(registers: int) -> tuple[np.ndarray, np.ndarray]:
+def _fillers(registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """The registers that an empty one looks at in turn, and its own hash's salt should all be empty too."""
     rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 1 << 63, registers, dtype="uint64") * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, registers, dtype="uint64")
+    return rng.integers(0, registers, (PROBES, registers)), rng.integers(0, 1 << 63, registers, dtype="uint64")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -97,21 +111,60 @@ def shingle_sets(words: Words, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.array([], "uint64")
 
 
-def registers(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Leading zeros and mantissa of each hash function's minimum, as unsigned 16-bit numbers."""
-    factors, terms = _functions(n)
-    low = np.full(n, np.iinfo("uint64").max, "uint64")
-    for at in range(0, hashes.size, 2048):
-        low = np.minimum(low, (factors[:, None] * hashes[None, at : at + 2048] + terms[:, None]).min(axis=1))
-    mantissa, exponent = np.frexp(low.astype("float64"))
-    lead = (65 - exponent).astype("uint16")
+def registers(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """Leading zeros and mantissa of each register's least hash, ``(sets, n)`` unsigned 16-bit numbers.
+
+    An empty register takes the value of the first that isn't of a fixed
+    series of others; where all of those are empty, as in very short texts,
+    the least of a hash of its own.  A set without shingles has zeros.
+    """
+    sizes = np.array([x.size for x in sets], "int64")
+    hashes = np.concatenate([np.zeros(0, "uint64"), *sets])
+    rank_mask = np.uint64((1 << RANK_BITS) - 1)
+    low = np.full((sizes.size, n), _EMPTY, "uint64")
+    place = ((hashes >> np.uint64(RANK_BITS)) * np.uint64(n)) >> np.uint64(INDEX_BITS)
+    np.minimum.at(low.reshape(-1), np.repeat(np.arange(sizes.size), sizes) * n + place.astype("int64"), hashes & rank_mask)
+    probes, salts = _fillers(n)
+    filled = low.copy()
+    row, col = np.nonzero((low == _EMPTY) & (sizes > 0)[:, None])
+    for probe in probes:
+        value = low[row, probe[col]]
+        found = value != _EMPTY
+        filled[row[found], col[found]] = value[found]
+        row, col = row[~found], col[~found]
+    for i in np.unique(row):
+        own = col[row == i]
+        for at in range(0, own.size, 64):
+            salted = _mixed(sets[i][:, None] ^ salts[own[at : at + 64]][None, :]) & rank_mask
+            filled[i, own[at : at + 64]] = salted.min(axis=0)
+    filled[sizes == 0] = 0
+    mantissa, exponent = np.frexp(filled.astype("float64"))
+    lead = (RANK_BITS - exponent).astype("uint16")
     return (lead << np.uint16(MANTISSA)) | ((mantissa * 2 - 1) * (1 << MANTISSA)).clip(0, (1 << MANTISSA) - 1).astype("uint16")
 
 
+#: Bounds of the leading-zero octaves, each in 16 parts within which the mantissas are as good as equally likely.
+_PARTS = 16
+_BOUNDS = np.concatenate([[2.0**-i * (1 - k / (2 * _PARTS)) for k in range(_PARTS)] for i in range(RANK_BITS)] + [[2.0**-RANK_BITS]])
+
+
+def collisions(n: np.ndarray, m: np.ndarray, n_registers: int) -> np.ndarray:
+    """Share of registers of sets of ``n`` and ``m`` shingles that are equal though the least hashes differ.
+
+    The sum over all register values of the chance that either set's least
+    hash has that value, for registers that aren't empty.
+    """
+    out = np.empty(n.size)
+    for at in range(0, n.size, 2048):
+        above = [np.exp(k[at : at + 2048, None] * np.log1p(-_BOUNDS / n_registers)[None, :]) for k in (n.astype("float64"), m.astype("float64"))]
+        p, q = (np.diff(x, axis=1) / np.maximum(1 - x[:, :1], 1e-12) for x in above)
+        out[at : at + 2048] = (p * q).sum(axis=1) * _PARTS / (1 << MANTISSA)
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from equal registers ``(pairs, registers)``, less those equal by chance."""
-    n, m = n.astype("float64"), m.astype("float64")
-    chance = 0.72 / (1 << MANTISSA) * n * m / (n + m) ** 2
+    chance = collisions(n, m, a.shape[1])
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
@@ -121,12 +174,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n_registers: int) ->
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(batches, "text"):
-                n, h1, h2, sig = [], [], [], []
-                for hashes in shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text"))))):
-                    n.append(hashes.size)
-                    h1.append(int(hashes.sum(dtype="uint64").astype("int64")))
-                    h2.append(int(_mixed(hashes ^ _P).sum(dtype="uint64").astype("int64")))
-                    sig.append(registers(hashes, n_registers).tobytes() if hashes.size else None)
+                sets = list(shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text"))))))
+                n = [x.size for x in sets]
+                h1 = [int(x.sum(dtype="uint64").astype("int64")) for x in sets]
+                h2 = [int(_mixed(x ^ _P).sum(dtype="uint64").astype("int64")) for x in sets]
+                sig = [row.tobytes() if x.size else None for x, row in zip(sets, registers(sets, n_registers), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, "int64"), pa.array(h1, "int64"), pa.array(h2, "int64"), pa.array(sig, "binary")], ["id", "n", "h1", "h2", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "id long, n long, h1 long, h2 long, sig binary")
@@ -149,8 +201,12 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, n_registers: int)
     return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose whole shingle sets are similar enough; both texts meet row by row."""
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b, shared, n_a, n_b, linked, outside)`` by whole shingle sets; both texts meet row by row.
+
+    ``outside`` are the shingles of ``a`` that ``b`` lacks, first ones by hash:
+    as many as tell any text linked with ``a`` that shares enough of them.
+    """
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +214,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             for batch in slices(batches, "text_a", "text_b"):
                 one = shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text_a")))))
                 two = shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text_b")))))
-                good = []
+                rows = []
                 for x, y in zip(one, two, strict=True):
-                    both_ = np.intersect1d(x, y, assume_unique=True).size
-                    good.append(both_ > 0 and 100 * both_ >= threshold * (x.size + y.size - both_))
-                yield batch.select(["a", "b"]).filter(pa.array(good, "bool"))
+                    out = np.setdiff1d(x, y, assume_unique=True)
+                    shared = x.size - out.size
+                    linked = shared > 0 and 100 * shared >= threshold * (x.size + y.size - shared)
+                    need = max(1, -(-threshold * x.size // 100) - shared)
+                    rows.append((shared, x.size, y.size, linked, out[: max(0, out.size - need + 1)].astype("int64")))
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, ("int64", "int64", "int64", "bool", pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "shared", "n_a", "n_b", "linked", "outside"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, shared long, n_a long, n_b long, linked boolean, outside array<long>")
+
+
+def _centres(large: DataFrame) -> DataFrame:
+    """``(key, b)``: each bucket's centre, not always a member.
+
+    A member's own choice is, of the members of its buckets, the one whose
+    buckets hold most rows; a bucket's is what most of its members choose.  So
+    the buckets in which a group of near copies lies have one centre, those
+    that this centre itself isn't in too.
+    """
+    held = large.groupBy("id").agg(F.sum("n").alias("_held"))
+    by_key = large.join(held, "id").groupBy("key").agg(F.max(F.struct("_held", (-F.col("id")).alias("_minus"))).alias("_top"))
+    chosen = large.join(by_key, "key").groupBy("id").agg(F.max("_top").alias("_top"))
+    votes = large.join(chosen, "id").groupBy("key", "_top").agg(F.count("*").alias("_votes"))
+    return votes.groupBy("key").agg(F.max(F.struct("_votes", "_top")).alias("_most")).select("key", (-F.col("_most._top._minus")).alias("b"))
+
+
+def _next_buckets(compared: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """``(key, id)``: which members compared with a centre may still be linked with each other.
+
+    ``compared`` has the members as ``a`` and their centres as ``b``.
+    """
+    rows = compared.join(labels.withColumnRenamed("id", "a"), "a")
+    by_shingle = rows.select("b", "a", "component", F.explode("outside").alias("shingle")).select(F.xxhash64("b", "shingle").alias("key"), F.col("a").alias("id"), "component")
+    # the pair shares nothing outside the centre: x has fewer of its shingles, y is small enough for them
+    width = F.greatest(F.lit(1), F.floor(F.col("n_b") / SIZE_CLASSES))
+    most = F.floor(F.col("shared") * (100 + threshold) / threshold) - F.col("n_a")
+    least = F.greatest(F.col("shared"), F.ceil(F.col("n_a") * threshold / 100))
+    bounds = rows.groupBy("b").agg(F.min("n_a").alias("_low"), F.max("n_a").alias("_high"))
+    x = rows.select("b", "a", "shared", "component", width.alias("_width"), least.alias("_from"), most.alias("_to")).join(bounds, "b")
+    x = x.withColumn("_from", F.greatest("_from", "_low")).withColumn("_to", F.least("_to", "_high")).filter("_from <= _to")
+    x = x.select("b", "a", "shared", "component", F.explode(F.sequence(F.floor(F.col("_from") / F.col("_width")), F.floor(F.col("_to") / F.col("_width")))).alias("size"))
+    y = rows.select("b", "a", "shared", "component", F.floor(F.col("n_a") / width).alias("size"))
+    ends = lambda side, how: side.groupBy("b", "size").agg(how("shared").alias("_shared"), F.min("component").alias("_min"), F.max("component").alias("_max"))
+    other = (F.col("_min") != F.col("component")) | (F.col("_max") != F.col("component"))
+    x_in = x.join(ends(y, F.max), ["b", "size"]).filter(other & (F.col("shared") <= F.col("_shared")))
+    y_in = y.join(ends(x, F.min), ["b", "size"]).filter(other & (F.col("shared") >= F.col("_shared")))
+    by_size = x_in.unionByName(y_in).select(F.xxhash64("b", F.lit("size"), "size").alias("key"), F.col("a").alias("id"), "component")
+    found = by_shingle.unionByName(by_size)
+    open_ = found.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select("key")
+    return found.select("key", "id").join(open_, "key", "left_semi").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every linked id: smallest labels spread and jump until none changes."""
-    links = links.filter("a <> b").distinct()
     edges = cut(links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
@@ -206,26 +306,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = near.select("id", F.col("id").alias("component")).distinct()
 
-    def settle(pairs: DataFrame) -> None:
-        """Looks at pairs of different components and joins those components."""
+    def settle(links: DataFrame) -> None:
+        """Joins the components of linked documents."""
         nonlocal labels
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = _confirmed(_likely(pairs, near, threshold, plan.registers), texts, threshold)
-        ends = good.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
-        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        labels = cut(labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
+        ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+        ends = cut(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+        if ends.limit(1).count():
+            joined = components(ends).select(F.col("id").alias("component"), F.col("component").alias("_to"))
+            labels = cut(labels.join(joined, "component", "left").select("id", F.coalesce("_to", "component").alias("component")))
 
-    for round_, leaders in enumerate((*LEADERS, None) if n_near else ()):
+    for level in range(LEVELS + 1 if n_near else 0):
         placed = cut(bands.join(labels, "id"))
-        order = F.xxhash64("key", "id", F.lit(round_)) if round_ else F.col("id")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max"), F.count("*").alias("_n"), F.min_by("id", order).alias("_first")).filter("_min <> _max")
-        members = placed.join(open_.select("key", "_n", "_first"), "key")
-        chosen = members.filter("id = _first") if leaders == 1 else members
-        if leaders and leaders > 1:
-            chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(round_)), F.ceil(F.col("_n") / leaders)) == 0)
-        chosen = chosen.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        meet = members.join(chosen, "key").filter("component <> other")
-        settle((meet if leaders else meet.filter("id < b")).select(F.col("id").alias("a"), "b"))
+        within = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
+        crossing = (F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2
+        sizes = within.groupBy("key").agg(F.sum("_n").alias("n"), crossing.alias("_pairs")).filter("_pairs > 0")
+        placed = cut(placed.join(sizes, "key"))
+        few = (F.col("_pairs") <= SMALL * F.col("n")) | F.lit(level == LEVELS)
+        large, small = placed.filter(~few).select("key", "id", "n"), placed.filter(few).select("key", "id")
+        centres = cut(_centres(large)) if level < LEVELS else None
+        some_large = centres is not None and centres.limit(1).count() > 0
+        if some_large:
+            pairs = cut(large.join(centres, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+            compared = cut(_compared(pairs, texts, threshold))
+            settle(compared.filter("linked").select("a", "b"))
+        small = small.join(labels, "id")
+        meet = small.select("key", F.col("id").alias("a"), F.col("component").alias("x")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("y")), "key")
+        pairs = cut(meet.filter("a < b and x <> y").select("a", "b").distinct())
+        settle(_compared(_likely(pairs, near, threshold, plan.registers), texts, threshold).filter("linked").select("a", "b"))
+        if not some_large:
+            break
+        bands = cut(_next_buckets(compared, labels, threshold))
 
     found = classes.select("h1", "h2", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("id", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left")
@@ -235,5 +345,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = near_duplicates(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
