@@ -1,11 +1,13 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's variable fields are the tokens that hold a digit.  The tree has a
-fixed depth: token count, then the first ``DEPTH`` tokens; a leaf's lines are
-generalised position by position, a token that most of them share staying and
-any other becoming variable.  A line belongs to a recurring template if its
-masked form, or its leaf's generalised template when the line agrees with it,
-is found in enough unrelated documents.  Of the documents that hold a line,
+fixed depth: token count, then the first ``DEPTH`` tokens; a leaf holds as many
+templates as its lines make.  A line is generalised at several levels: at each,
+the tokens that as many of the leaf's lines have in that place stay and the
+others become variable, so that two variable fields are told from the fixed
+words between them however common their values are.  A line belongs to a
+recurring template if its masked form, or one of its generalised forms that
+keeps most of its tokens, is found in enough unrelated documents.  Of the documents that hold a line,
 each is judged by its other lines: it counts as one in ``m``, the median over a
 sketch of those lines of how many of the documents hold them too.  One that
 shares less than half of its other lines counts in full, whatever headers they
@@ -26,8 +28,8 @@ DEPTH = 3
 SKETCH = 8
 #: Unrelated documents from which a template recurs, and their least share of a group of copies that is to lose it too.
 MIN_DOCS, MIN_SHARE = 4, 0.2
-#: A leaf's token stays in its template if that share of the leaf's lines has it; a line agrees if that share of its tail does.
-STAYS, AGREES = 0.5, 0.75
+#: Least numbers of a leaf's lines with a token for it to stay, and the share of its tail that a line must keep.
+LEVELS, AGREES = tuple(4**k for k in range(1, 16)), 0.75
 #: For sums of fractions that should reach a whole number.
 SLACK = 1e-6
 
@@ -83,6 +85,10 @@ def _recurs(rows: DataFrame, key: str, sketches: DataFrame, min_docs: int, min_s
     return judged.join(found, key).filter(F.col("_unrelated") >= min_share * F.col("_m") - SLACK).select(key, "_doc")
 
 
+def _at_least(tokens: str, n: int) -> Column:
+    return F.filter(tokens, lambda x: x["_n"] >= n)
+
+
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_share: float) -> DataFrame:
     """``(_id, _drop)``: per document id the hashes of the line forms to drop."""
     formed = _lines(docs, id_col, text_col)
@@ -111,13 +117,14 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
     some = _lines(again.join(wanted, F.col("_key").eqNullSafe(F.col("_id"))), "_key", "_text", "_open")
     some = some.select("_id", "_doc", F.explode(F.filter("_forms", lambda f: F.array_contains("_open", F.xxhash64(f)))).alias("_form")).withColumn("_tokens", F.split("_form", " "))
     busy = cut(some.select("_id", "_doc", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf"), F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")).alias("_tail")))
-    counts = busy.select("_leaf", F.posexplode("_tail").alias("_pos", "_token")).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n"))
-    modal = counts.groupBy("_leaf", "_pos").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
-    stays = modal.filter(F.col("_top._n") >= F.greatest(F.col("_all") * STAYS, F.lit(float(min_docs))))
-    template = stays.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.col("_top._token")))).alias("_template"))
-    same = F.size(F.filter(F.transform("_tail", lambda t, i: t == F.col("_template")[i]), lambda x: x))
-    agreeing = cut(busy.join(template, "_leaf").filter(same >= AGREES * F.size("_tail")).select("_id", "_doc", "_line", "_leaf"))
-    general = agreeing.join(_recurs(agreeing, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi").select("_id", "_line")
+    counts = busy.select("_leaf", F.posexplode("_tail").alias("_pos", "_token")).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min(LEVELS))
+    placed = busy.select("_id", "_doc", "_line", "_leaf", F.size("_tail").alias("_size"), F.posexplode("_tail").alias("_pos", "_token"))
+    often_here = placed.join(counts.hint("merge"), ["_leaf", "_pos", "_token"])
+    lines_ = often_here.groupBy("_id", "_doc", "_line", "_leaf", "_size").agg(F.sort_array(F.collect_list(F.struct("_pos", "_token", "_n"))).alias("_often"))
+    stays = [_at_least("_often", n) for n in LEVELS]
+    forms_ = F.array(*(F.when(F.size(x) >= AGREES * F.col("_size"), F.xxhash64("_leaf", F.transform(x, lambda y: F.struct(y["_pos"], y["_token"])))) for x in stays))
+    agreeing = cut(lines_.select("_id", "_doc", "_line", F.explode(F.array_distinct(F.filter(forms_, lambda x: x.isNotNull()))).alias("_template")))
+    general = agreeing.join(_recurs(agreeing, "_template", sketches, min_docs, min_share), ["_template", "_doc"], "left_semi").select("_id", "_line")
     return exact.unionByName(general).groupBy("_id").agg(F.collect_set("_line").alias("_drop"))
 
 
@@ -126,16 +133,23 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are separated by ``\\n``; what stays keeps its order and bytes.
     Blank lines always stay.  A null text stays null with no lines; an empty
-    one has one line.  Rows that share an id are
-    each judged by the lines that recur under that id.
+    one has one line.  Rows that share an id, a null one too, are each judged
+    by the lines that recur under that id; repeated rows count as copies.  A
+    line repeated within a document counts once and goes each time.  An empty
+    table gives no rows.
     """
     drops = recurring(docs, id_col, text_col, min_docs, min_share)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("_key"))
     rows = rows.join(drops, F.col("_key").eqNullSafe(F.col("_id")), "left")
     text = F.col(f"row.`{text_col}`")
     lines, forms = F.split(text, "\n"), _forms(text)
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("l"), forms.alias("f")), lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(x["f"]))), lambda x: x["l"])
-    rows = rows.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
+    # the drops in as many parts as each has drops, so that many lines with many drops don't take their product
+    parts = F.ceil(F.sqrt(F.size("_drop"))).cast("int")
+    parted = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.filter("_drop", lambda h: F.pmod(h, parts) == i))
+    rows = rows.withColumn("_parts", F.when(F.size("_drop") > 0, parted))
+    goes = lambda h: F.array_contains(F.element_at("_parts", (F.pmod(h, F.size("_parts")) + 1).cast("int")), h)
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("l"), forms.alias("f")), lambda x: ~goes(F.xxhash64(x["f"]))), lambda x: x["l"])
+    rows = rows.withColumn("_kept", F.when(F.col("_parts").isNotNull(), kept))
     n_lines = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long")
     n_kept = F.when(F.col("_kept").isNull(), n_lines).otherwise(F.size("_kept")).cast("long")
     return rows.select("row", F.coalesce(F.array_join("_kept", "\n"), text).alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))

@@ -65,39 +65,57 @@ def forms(text):
     return [" ".join("<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line)) for line in (text or "").split("\n")]
 
 
-def line_dedup(docs, min_docs=4, min_share=0.2, depth=3, stays=0.5, agrees=0.75):
+def _unrelated(pairs, sketches, min_docs, min_share):
+    """``{(key, doc)}`` that recur, from ``(key, doc, line hash)``; ``sketches``: ``{doc: (hashes, rows)}``."""
+    own = {}
+    for key, doc, line in pairs:
+        own[key, doc] = min(line, own.get((key, doc), line))
+    members = defaultdict(list)
+    for (key, doc), line in own.items():
+        members[key].append((doc, [h for h in sketches[doc][0] if h != line] or [0]))
+    out = set()
+    for key, docs in members.items():
+        held = Counter()
+        for doc, others in docs:
+            for h in others:
+                held[h] += sketches[doc][1]
+        counts = {}
+        for doc, others in docs:
+            ms = sorted(max(held[h], 1) for h in others)
+            counts[doc] = ms[(len(ms) + 1) // 2 - 1]
+        total = sum(sketches[doc][1] / counts[doc] for doc, _ in docs)
+        if total >= min_docs - 1e-6:
+            out |= {(key, doc) for doc, _ in docs if total >= min_share * counts[doc] - 1e-6}
+    return out
+
+
+def line_dedup(docs, min_docs=4, min_share=0.2, depth=3, agrees=0.75, sketch=8):
     """``{doc_id: text}`` without recurring lines; ids are distinct."""
-    lines = []
+    lines, rows = [], Counter()
+    sketch_of = {}
     for i, text in docs:
-        found = list(dict.fromkeys(forms(text)))
-        sig = min((_hash(f) for f in found if f), default=None)
-        lines += [(i, sig, f, tuple(f.split(" "))) for f in found if len(f.split(" ")) > depth]
-
-    def leaf(t):
-        return (len(t), *t[:depth])
-
-    def often(pairs):
-        sigs, n = defaultdict(set), Counter()
-        for key, sig in pairs:
-            sigs[key].add(sig)
-            n[key] += 1
-        return {k for k, s in sigs.items() if len(s) >= min_docs and len(s) >= min_share * n[k]}
-
-    recurs = often((f, s) for _, s, f, _ in lines)
-    leaves = often((leaf(t), s) for _, s, _, t in lines)
-    busy = [x for x in lines if leaf(x[3]) in leaves and x[2] not in recurs]
-    counts = defaultdict(Counter)
-    for _, _, _, t in busy:
-        for k, token in enumerate(t[depth:]):
-            counts[leaf(t), k][token] += 1
-    template = defaultdict(dict)
-    for (key, k), c in counts.items():
-        n, token = max((n, token) for token, n in c.items())
-        if n >= max(sum(c.values()) * stays, min_docs):
-            template[key][k] = token
-    fits = [x for x in busy if leaf(x[3]) in template and sum(template[leaf(x[3])].get(k) == t for k, t in enumerate(x[3][depth:])) >= agrees * len(x[3][depth:])]
-    general = often((leaf(t), s) for _, s, _, t in fits)
-    drop = {(i, f) for i, _, f, _ in lines if f in recurs} | {(i, f) for i, _, f, t in fits if leaf(t) in general}
+        found = list(dict.fromkeys(f for f in forms(text) if f))
+        doc = tuple(found)
+        if found:
+            rows[doc] += 1
+            sketch_of[doc] = sorted(_hash(f) for f in found)[:sketch]
+        lines += [(i, doc, f, tuple(f.split(" "))) for f in found]
+    sketches = {doc: (s, rows[doc]) for doc, s in sketch_of.items()}
+    leaf = lambda t: (len(t), *t[:depth])
+    recurs = _unrelated([(f, doc, _hash(f)) for _, doc, f, _ in lines], sketches, min_docs, min_share)
+    rest = [x for x in lines if len(x[3]) > depth and (x[2], x[1]) not in recurs]
+    leaves = _unrelated([(leaf(t), doc, _hash(f)) for _, doc, f, t in rest], sketches, min_docs, min_share)
+    busy = [x for x in rest if (leaf(x[3]), x[1]) in leaves]
+    counts = Counter((leaf(t), k, token) for _, _, _, t in busy for k, token in enumerate(t[depth:]))
+    fits = []
+    for i, doc, f, t in busy:
+        tail = t[depth:]
+        for level in (4**k for k in range(1, 16)):
+            stays = tuple((k, token) for k, token in enumerate(tail) if counts[leaf(t), k, token] >= level)
+            if len(stays) >= agrees * len(tail):
+                fits.append((i, doc, f, (leaf(t), stays)))
+    general = _unrelated([(key, doc, _hash(f)) for _, doc, f, key in fits], sketches, min_docs, min_share)
+    drop = {(i, f) for i, doc, f, _ in lines if (f, doc) in recurs} | {(i, f) for i, doc, f, key in fits if (key, doc) in general}
     return {i: None if text is None else "\n".join(x for x, f in zip(text.split("\n"), forms(text), strict=True) if (i, f) not in drop) for i, text in docs}
 
 
@@ -150,16 +168,20 @@ def greedy_pieces(word, vocabulary):
     return n
 
 
-def mixed(docs, taken):
-    """Texts of the mix: each whole as often as taken, the last copy cut after its last taken word."""
-    out = []
-    for i, text in docs:
-        size, n = len(WORD.findall(text or "")), taken[i]
-        if not size:
+def mixed(docs, takes):
+    """``(doc_id, text)`` of the mix in each source's stream: ``docs`` with ``(doc_id, text, source)``, ``takes`` words by source."""
+    out, streams = [], defaultdict(list)
+    for i, text, source in docs:
+        size = len(WORD.findall(text or ""))
+        if size:
+            streams[source].append((hashlib.md5(f"mix{i}".encode()).hexdigest(), i, size, text))
+        else:
             out.append((i, text))
-            continue
-        out += [(i, text)] * (n // size)
-        if n % size:
-            end = [m.end() for m in WORD.finditer(text)][n % size - 1]
-            out.append((i, text[:end]))
+    for source, stream in streams.items():
+        at = 0
+        for _ in range(3):
+            for _, i, size, text in sorted(stream):
+                if at < takes[source] and 2 * (takes[source] - at) >= size:
+                    out.append((i, text))
+                at += size
     return out

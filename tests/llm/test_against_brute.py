@@ -178,10 +178,11 @@ def test_pipeline_is_its_stages_by_brute_force(spark, docs, tokenizer):
     judged = brute.sql(oracles.QUALITY, documents=docs)
     left = docs[docs["doc_id"].isin(judged[judged["kept"]]["doc_id"])].copy()
     left["text"] = left["doc_id"].map(brute.line_dedup(pairs(left)))
-    near = brute.sql(oracles.NEAR_DUPS, documents=left)
+    near = brute.sql(oracles.near_dups_sql(corpus_pipeline.NEAR), documents=left)
     left = left[left["doc_id"].isin(near[near["kept"]]["doc_id"])]
-    taken = brute.sql(oracles.MIXING, documents=left)
-    mixed = brute.mixed(pairs(left), dict(zip(taken["doc_id"], taken["taken"], strict=True)))
+    targets = brute.sql(oracles.MIXING, documents=left).merge(left[["doc_id", "source"]], on="doc_id")
+    takes = {s: math.floor(t + 0.5) for s, t in targets.groupby("source")["target"].max().items()}
+    mixed = brute.mixed(list(left[["doc_id", "text", "source"]].itertuples(index=False, name=None)), takes)
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert keys(got) == brute.pieces(mixed, tokenizer)
     check_places(got)

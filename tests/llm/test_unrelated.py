@@ -52,3 +52,24 @@ def test_short_lines_recur(spark):
     assert dropped(spark, texts) == {i: short for i in range(6)}
     got = lines.drop_lines(spark.createDataFrame(texts, "doc_id long, text string")).select("n_lines", "n_dropped").distinct().collect()
     assert [tuple(r) for r in got] == [(13, 4)]
+
+
+def test_two_templates_of_one_leaf_with_two_variables(spark):
+    """Neither has most of the leaf's lines, and values of either variable are common by themselves."""
+    rng = np.random.default_rng(15)
+    names, places = [f"name{chr(97 + i)}" for i in range(8)], [f"place{chr(97 + i)}" for i in range(9)]
+    texts = []
+    for i in range(60):
+        one = f"This page was last seen by {names[i % 8]} of the reading room in {places[i % 9]} and closed at once today"
+        two = f"This page was sent on for {names[i % 8]} to the writing desk at {places[i % 9]} and opened by hand later"
+        noise = [f"This page was {' '.join(rng.choice(WORDS, 14))}" for _ in range(3)]
+        texts.append((i, "\n".join([*own(rng, 3), [one, two][i % 2], *noise])))
+    assert dropped(spark, texts) == {i: [t.split("\n")[3]] for i, t in texts}
+
+
+def test_many_lines_with_many_drops(spark):
+    rng = np.random.default_rng(16)
+    many = [f"line {a} of words" for a in WORDS[:150]]
+    texts = [(i, "\n".join([*own(rng, 400), *many])) for i in range(5)] + [(9, "w " * 200_000)]
+    got = dropped(spark, texts)
+    assert all(got[i] == many for i in range(5)) and not got[9]
