@@ -65,21 +65,25 @@ l as (
 ),
 t as (select *, least(lim, coalesce((select common from l where level > common order by level, no limit 1), level) * weight) as target from l),
 k as (select *, cast(least(floor(target + 0.5), source_size * {mixing.MAX_REPEATS}) as bigint) as take from t),
-b as (select *, sum(take) over (order by no) - take as low, sum(take) over (order by no) as high, sum(take) over () as everything from k),
-points as (select i as slot, (i % {mixing.PERIOD} * {mixing.STEP}) % {mixing.PERIOD} as point from range((select cast(ceil(max(everything) / {mixing.BLOCK_WORDS}) as bigint) from b)) g(i)),
-hits as (select no, slot, row_number() over (partition by no order by slot) - 1 as block from points join b on point >= low::hugeint * {mixing.PERIOD} // everything and point < high::hugeint * {mixing.PERIOD} // everything and take > 0),
-placed as (select d.*, coalesce(sum(size) over (partition by source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d),
+b as (select *, cast(ceil(take / {mixing.BLOCK_WORDS}) as bigint) as blocks, sum(cast(ceil(take / {mixing.BLOCK_WORDS}) as bigint)) over (order by no) as high from k),
+points as (select i as slot, row_number() over (order by (i % {mixing.PERIOD} * {mixing.STEP}) % {mixing.PERIOD}, i) - 1 as place from range((select cast(max(high) as bigint) from b)) g(i)),
+hits as (select no, slot, row_number() over (partition by no order by slot) - 1 as block from points join b on place >= high - blocks and place < high),
+placed as (select d.*, row_number() over () as r, coalesce(sum(size) over (partition by source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d),
+seen as (
+  select r, no, take, size, start + pass * source_size as a, least(start + pass * source_size + size, take) as z
+  from placed p join b on p.source is not distinct from b.source, (select unnest(range({mixing.MAX_REPEATS})) as pass) where size > 0 and start + pass * source_size < take
+),
+parts as (select *, unnest(range(cast(a // {mixing.BLOCK_WORDS} as bigint), cast((z - 1) // {mixing.BLOCK_WORDS} + 1 as bigint))) as block from seen),
 taken as (
-  select p.doc_id, p.size, b.source_size, b.target, b.no, b.everything, p.start,
-         b.take // greatest(b.source_size, 1) * p.size + greatest(0, least(p.size, b.take % greatest(b.source_size, 1) - p.start)) as taken
-  from placed p join b on p.source is not distinct from b.source
+  select r, sum(least(z, (block + 1) * {mixing.BLOCK_WORDS}) - greatest(a, block * {mixing.BLOCK_WORDS})) as taken, arg_min(slot, block) as slot
+  from parts join hits using (no, block) group by r
 )
-select doc_id, cast(size as bigint) as size, source_size, target, cast(taken as bigint) as taken, cast(start as bigint) as start,
-       cast(case when taken > 0 then coalesce(slot, ceil(everything / {mixing.BLOCK_WORDS}) + start // {mixing.BLOCK_WORDS} * 65536 + taken.no) end as bigint) as slot
-from taken left join hits on hits.no = taken.no and hits.block = start // {mixing.BLOCK_WORDS}
+select doc_id, cast(size as bigint) as size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken, cast(start as bigint) as start, slot
+from placed p join b on p.source is not distinct from b.source left join taken using (r)
 """
 
-NEAR_DUPS = f"""
+def near_dups_sql(threshold: int) -> str:
+    return f"""
 with recursive d as materialized (select doc_id as r, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_WORD}') as ws from documents),
 tok as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
 sh as materialized (
@@ -88,11 +92,13 @@ sh as materialized (
 ),
 n as materialized (select r, count(*) as n from sh group by r),
 both_ as materialized (select a.r as a, b.r as b, count(*) as c from sh a join sh b on a.s = b.s and a.r < b.r group by all),
-links as materialized (select a, b from both_ join n x on x.r = a join n y on y.r = b where 100 * c >= {near_dups.THRESHOLD} * (x.n + y.n - c)),
+links as materialized (select a, b from both_ join n x on x.r = a join n y on y.r = b where 100 * c >= {threshold} * (x.n + y.n - c)),
 sides as materialized (select a, b from links union all select b, a from links),
 reach(a, b) as (select r, r from d union select reach.a, sides.b from reach join sides on sides.a = reach.b)
 select d.r as doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.r = c.component_id as kept
 from d left join n using (r) join (select a, min(b) as component_id from reach group by a) c on c.a = d.r
 """
 
+NEAR_DUPS = near_dups_sql(near_dups.THRESHOLD)
+
 SQL = {"op6_quality": QUALITY, "op8_mixing": MIXING, "op9_urls": urls.ORACLE_SQL, "op10_near_dups": NEAR_DUPS}
