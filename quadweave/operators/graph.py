@@ -35,14 +35,15 @@ def traverse(quads: DataFrame, seeds: DataFrame, depth: int = 1, direction: str
     visited and scope checks, so back-edges show.  An excluded node
     (``excluded(iri, rule)``) is met and recorded but neither kept nor
     expanded; an excluded seed expands all the same.  ``limit`` counts kept
-    nodes beyond the seeds.
+    nodes beyond the seeds; without one, nodes have no rank.
     """
     spark = quads.sparkSession
-    moves = steps(Q.edges(quads, predicates), direction)
+    moves = cut(steps(Q.edges(quads, predicates).distinct(), direction))
     if excluded is None:
         excluded = spark.createDataFrame([], "iri string, rule string")
-    order = F.row_number().over(Window.orderBy("iri"))
-    frontier = cut(seeds.select("iri").distinct().withColumn("rank", order))
+    # without a limit nobody needs a level's ranks: parents are told apart by their IRIs then, and no level meets in one task
+    rank = (lambda df, *by: df.withColumn("rank", F.row_number().over(Window.orderBy(*by)))) if limit is not None else (lambda df, *by: df.withColumn("rank", F.lit(None).cast("int")))
+    frontier = cut(rank(seeds.select("iri").distinct(), "iri"))
     seen = frontier.select("iri")
     kept = frontier.join(excluded, "iri", "left_anti").select("iri", F.lit(0).alias("depth"), "rank")
     hops, met = None, frontier.join(excluded, "iri").select("iri", "rule")
@@ -54,7 +55,7 @@ def traverse(quads: DataFrame, seeds: DataFrame, depth: int = 1, direction: str
         new = found.groupBy(F.col("to").alias("iri")).agg(F.min(F.struct("rank", "dir", "p")).alias("via")).join(seen, "iri", "left_anti")
         new = cut(new.join(excluded.withColumnRenamed("rule", "why"), "iri", "left"))
         met = met.unionByName(new.filter("why is not null").select("iri", F.col("why").alias("rule")))
-        fresh = new.filter("why is null").select("iri", F.row_number().over(Window.orderBy("via.rank", "via.dir", "via.p", "iri")).alias("rank"))
+        fresh = rank(new.filter("why is null"), "via.rank", "via.dir", "via.p", "iri").select("iri", "rank")
         if room is not None:
             fresh = fresh.filter(F.col("rank") <= room)
         frontier = cut(fresh)
@@ -103,15 +104,53 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """``(iri, component)`` of nodes on cycles: mutually reachable, the component named by its smallest node."""
-    c = cut(closure(edges))
-    mutual = c.join(c.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["child", "parent"])
-    return mutual.groupBy(F.col("child").alias("iri")).agg(F.min("parent").alias("component"))
+    """``(iri, component)`` of nodes on cycles: mutually reachable, the component named by its smallest node.
+
+    Nodes without an edge in or out are trimmed until none is left to trim.
+    Then colours spread forwards, the smallest name winning; the nodes of a
+    colour that reach its name backwards are its component, and the others go
+    another round.  No pairs of reachable nodes are built.
+    """
+    e = cut(edges.select("child", "parent").filter("child is not null and parent is not null").distinct())
+    done = []
+    while True:
+        before = -1
+        while (n := e.count()) != before:
+            before = n
+            inner = e.select(F.col("child").alias("iri")).intersect(e.select("parent"))
+            e = cut(e.join(inner.withColumnRenamed("iri", "child"), "child", "left_semi").join(inner.withColumnRenamed("iri", "parent"), "parent", "left_semi").select("child", "parent"))
+        if not n:
+            break
+        colour = cut(e.select(F.col("child").alias("iri")).union(e.select("parent")).distinct().withColumn("colour", F.col("iri")))
+        while True:
+            came = e.join(colour, F.col("child") == F.col("iri")).groupBy(F.col("parent").alias("iri")).agg(F.min("colour").alias("came"))
+            new = cut(colour.join(came, "iri", "left").select("iri", F.least("colour", F.coalesce("came", "colour")).alias("colour"), (F.col("came") < F.col("colour")).alias("moved")))
+            colour = new.select("iri", "colour")
+            if not new.filter("moved").limit(1).count():
+                break
+        same = cut(e.join(colour.select(F.col("iri").alias("child"), F.col("colour").alias("c")), "child").join(colour.select(F.col("iri").alias("parent"), F.col("colour").alias("d")), "parent").filter("c = d").select("child", "parent", "c"))
+        found = front = cut(colour.filter("iri = colour"))
+        while front.limit(1).count():
+            front = cut(same.join(front.select(F.col("iri").alias("parent")), "parent").select(F.col("child").alias("iri"), F.col("c").alias("colour")).distinct().join(found, "iri", "left_anti"))
+            found = cut(found.unionByName(front))
+        done.append(found.select("iri", F.col("colour").alias("component")))
+        gone = found.select("iri")
+        e = cut(e.join(gone.withColumnRenamed("iri", "child"), "child", "left_anti").join(gone.withColumnRenamed("iri", "parent"), "parent", "left_anti"))
+    if not done:
+        return edges.sparkSession.createDataFrame([], "iri string, component string")
+    return Q.combine(*done)
 
 
 def related_conflicts(quads: DataFrame) -> DataFrame:
     """``(a, b)``: related concepts of which one is a broader ancestor of the other by more than one step."""
     rel = quads.filter((F.col("p") == V.RELATED) & (F.col("o_kind") == "iri")).select(F.least("s", "o_value").alias("a"), F.greatest("s", "o_value").alias("b")).filter("a <> b").distinct()
     e = cut(broader_edges(quads))
-    both = lambda x: x.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")).distinct()
-    return rel.join(both(closure(e)), ["a", "b"], "left_semi").join(both(e), ["a", "b"], "left_anti")
+    # ancestors of the related concepts only, not of all
+    ends = rel.select(F.explode(F.array("a", "b")).alias("start")).distinct()
+    reached = front = cut(ends.join(e, F.col("start") == F.col("child")).select("start", F.col("parent").alias("at")).distinct())
+    direct = reached
+    while front.limit(1).count():
+        front = cut(front.join(e, F.col("at") == F.col("child")).select("start", F.col("parent").alias("at")).distinct().join(reached, ["start", "at"], "left_anti"))
+        reached = cut(reached.unionByName(front))
+    both = lambda x: x.select(F.least("start", "at").alias("a"), F.greatest("start", "at").alias("b")).distinct()
+    return rel.join(both(reached), ["a", "b"], "left_semi").join(both(direct), ["a", "b"], "left_anti")

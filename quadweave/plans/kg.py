@@ -67,9 +67,11 @@ _STAR = " union all ".join([
     _iri("orders", n("order", "o_orderkey"), V.SOURCE, n("customer", "o_custkey")),
     _iri("(select distinct l_orderkey, l_partkey from lineitem)", n("order", "l_orderkey"), V.REFERENCES, n("part", "l_partkey")),
 ])
-_K = "(select p_partkey as k from part where p_partkey < 32)"
-_BROADER = f"select distinct case when k % 2 = 0 or true then k end as child, (k * 7 + 3) % 32 as parent from {_K}"
-_CLOSE = f"with recursive e as ({_BROADER}), c(child, parent) as (select child, parent from e union select c.child, e.parent from c join e on c.parent = e.child)"
+_UP = "select p_partkey as k, p_partkey // 4 as up from part where p_partkey > 0"
+_CLOSE = (
+    f"with recursive u as ({_UP}), e as (select k as child, up as parent from u union select up, k from u where k % 97 = 0), "
+    "c(child, parent) as (select child, parent from e union select c.child, e.parent from c join e on c.parent = e.child)"
+)
 
 
 @query(f"select s, p, o_kind, o_value from ({_DOC}) group by all")
@@ -125,7 +127,7 @@ def q_most_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.most_connected(R.star(spark, sf_dir), "qw:Order")
 
 
-_FIELDS = {k: V.COVERAGE[k] for k in ("title", "description", "language", "applies-to", "subject")}
+_FIELDS = V.COVERAGE
 _F_SQL = "(values " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_FIELDS.items())) + ") f(ord, field, p)"
 
 
@@ -186,7 +188,14 @@ def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(graph.broader_edges(R.taxonomy(spark, sf_dir)))
 
 
-@query(f"{_CLOSE}, r as (select distinct least({n('concept', 'k')}, {n('concept', '((k * 3 + 1) % 32)')}) as a, greatest({n('concept', 'k')}, {n('concept', '((k * 3 + 1) % 32)')}) as b from {_K} where k % 5 = 0), cc as (select distinct least({n('concept', 'child')}, {n('concept', 'parent')}) as a, greatest({n('concept', 'child')}, {n('concept', 'parent')}) as b from c), ee as (select distinct least({n('concept', 'child')}, {n('concept', 'parent')}) as a, greatest({n('concept', 'child')}, {n('concept', 'parent')}) as b from e) select a, b from r where a <> b and (a, b) in (select (a, b) from cc) and (a, b) not in (select (a, b) from ee)")
+_PAIR = f"least({n('concept', 'x')}, {n('concept', 'y')}) as a, greatest({n('concept', 'x')}, {n('concept', 'y')}) as b"
+
+
+@query(
+    f"{_CLOSE}, r as (select distinct {_PAIR} from (select p_partkey as x, p_partkey // 16 as y from part where p_partkey % 5 = 0 union all select p_partkey, p_partkey * 3 + 1 from part where p_partkey % 7 = 0) where x <> y), "
+    f"far as (select distinct {_PAIR} from (select child as x, parent as y from c)), near as (select distinct {_PAIR} from (select child as x, parent as y from e)) "
+    "select a, b from r where (a, b) in (select a, b from far) and (a, b) not in (select a, b from near)"
+)
 def q_related_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.related_conflicts(R.taxonomy(spark, sf_dir))
 

@@ -23,7 +23,7 @@ MODEL = (
     "sections array<struct<slug:string,title:string,level:int,ord:int,parent:string>>, links array<string>, images array<string>, code array<string>, content_hash string, error string"
 )
 
-_FENCE = regex.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^\s`]*)")
+_FENCE = regex.compile(r"^ {0,3}(?:(`{3,})(?=[^`]*$)|(~{3,}))[ \t]*([^\s`]*)")
 _ATX = regex.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = regex.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _DEFINITION = regex.compile(r"^ {0,3}\[([^\]]+)\]:[ \t]*<?([^\s>]+)>?")
@@ -161,13 +161,13 @@ def analyse(path: str, content: str) -> tuple:
     for line in lines:
         m = _FENCE.match(line)
         if fence:
-            if m and m[1].startswith(fence) and not line.strip(" \t" + fence[0]):
+            if m and (m[1] or m[2]).startswith(fence) and not line.strip(" \t" + fence[0]):
                 fence = ""
             line = ""
         elif m:
-            fence, line = m[1], ""
-            if m[2]:
-                code.add(m[2])
+            fence, line = m[1] or m[2], ""
+            if m[3]:
+                code.add(m[3])
         elif (m := _ATX.match(line)) is not None:
             heads.append((len(m[1]), m[2] or ""))
         elif (m := _SETEXT.match(line)) and text and text[-1].strip() and not _ATX.match(text[-1]) and not regex.match(r" {0,3}(?:[-*+>|]|\d+[.)])", text[-1]):

@@ -62,14 +62,16 @@ def translations(docs: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
-    """A small concept scheme over part keys, with cycles, inverse and associative links."""
-    keys = read(spark, sf_dir, "part").filter(F.col("p_partkey") < size).select(F.col("p_partkey").alias("k"))
-    c = node("concept", "k")
+def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept scheme over all parts: a tree of four children each, inverse links, small cycles and associative links."""
+    keys = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    c, up = node("concept", "k"), F.floor(F.col("k") / 4).cast("long")
     return Q.combine(
         Q.link(keys, c, V.RDF_TYPE, V.CONCEPT),
         Q.fact(keys, c, V.PREF_LABEL, F.concat(F.lit("Concept "), F.col("k"))),
-        Q.link(keys.filter("k % 2 = 0"), c, V.BROADER, node("concept", (F.col("k") * 7 + 3) % size)),
-        Q.link(keys.filter("k % 2 = 1"), node("concept", (F.col("k") * 7 + 3) % size), V.NARROWER, c),
-        Q.link(keys.filter("k % 5 = 0"), c, V.RELATED, node("concept", (F.col("k") * 3 + 1) % size)),
+        Q.link(keys.filter("k > 0 and k % 2 = 0"), c, V.BROADER, node("concept", up)),
+        Q.link(keys.filter("k > 0 and k % 2 = 1"), node("concept", up), V.NARROWER, c),
+        Q.link(keys.filter("k > 0 and k % 97 = 0"), node("concept", up), V.BROADER, c),
+        Q.link(keys.filter("k % 5 = 0"), c, V.RELATED, node("concept", F.floor(F.col("k") / 16).cast("long"))),
+        Q.link(keys.filter("k % 7 = 0"), c, V.RELATED, node("concept", F.col("k") * 3 + 1)),
     )

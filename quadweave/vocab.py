@@ -29,7 +29,7 @@ def iri(curie: str) -> str:
 RDF_TYPE, TITLE, DESCRIPTION, LANGUAGE = iri("rdf:type"), iri("dcterms:title"), iri("dcterms:description"), iri("dcterms:language")
 REFERENCES, HAS_PART, SUBJECT, SOURCE = iri("dcterms:references"), iri("dcterms:hasPart"), iri("dcterms:subject"), iri("dcterms:source")
 CREATOR, CREATED, MODIFIED = iri("dcterms:creator"), iri("dcterms:created"), iri("dcterms:modified")
-PATH, CONTENT_HASH, LEVEL, ORDER, LABEL = iri("qw:path"), iri("qw:contentHash"), iri("qw:level"), iri("qw:order"), iri("qw:label")
+PATH, CONTENT_HASH, LEVEL, ORDER = iri("qw:path"), iri("qw:contentHash"), iri("qw:level"), iri("qw:order")
 BROKEN_LINK, BROKEN_SECTION = iri("qw:brokenLink"), iri("qw:brokenSection")
 DOCUMENT, SECTION, CONCEPT = iri("qw:Document"), iri("qw:Section"), iri("skos:Concept")
 APPLIES_TO, NOT_APPLIES_TO = iri("iirds:relates-to-product-variant"), iri("qw:notApplicableTo")
@@ -37,6 +37,7 @@ ASPECT, NOT_ASPECT, LIFECYCLE = iri("iirds:has-subject"), iri("qw:notAboutSubjec
 TRANSLATION_OF, HAS_TRANSLATION = iri("schema:translationOfWork"), iri("schema:workTranslation")
 TOPIC_TYPE, IN_SCHEME = iri("iirds:has-topic-type"), iri("skos:inScheme")
 BROADER, NARROWER, RELATED = iri("skos:broader"), iri("skos:narrower"), iri("skos:related")
+PRIMARY_TOPIC = iri("foaf:primaryTopic")
 PREF_LABEL, ALT_LABEL = iri("skos:prefLabel"), iri("skos:altLabel")
 XSD_STRING, XSD_INTEGER, XSD_DATE, XSD_DATETIME = iri("xsd:string"), iri("xsd:integer"), iri("xsd:date"), iri("xsd:dateTime")
 
@@ -45,15 +46,19 @@ QUADS = T.StructType().add("s", "string").add("p", "string").add("o_kind", "stri
 #: Document coverage fields in report order.
 COVERAGE = {
     "title": TITLE, "description": DESCRIPTION, "creator": CREATOR, "created": CREATED, "modified": MODIFIED, "subject": SUBJECT,
-    "label": LABEL, "language": LANGUAGE, "type": TOPIC_TYPE, "applies-to": APPLIES_TO,
+    "label": PRIMARY_TOPIC, "language": LANGUAGE, "type": TOPIC_TYPE, "applies-to": APPLIES_TO,
     "about-product-lifecycle": LIFECYCLE, "about-product-aspect": ASPECT,
 }
 SECTION_COVERAGE = {k: COVERAGE[k] for k in ("type", "applies-to", "about-product-lifecycle", "about-product-aspect", "subject")}
-TOPIC_TYPES = {t: iri(f"iirds:Generic{t.capitalize()}") for t in ("task", "concept", "reference", "learning", "troubleshooting", "form")}
+# fixed values: names of a published vocabulary
+TOPIC_TYPES = {
+    "task": iri("iirds:GenericTask"), "concept": iri("iirds:GenericConcept"), "reference": iri("iirds:GenericReference"),
+    "learning": iri("iirds:GenericLearning"), "troubleshooting": iri("iirds:GenericTroubleshooting"), "form": iri("iirds:GenericForm"),
+}
 PAGE_TYPES = {"how-to": "task", "tutorial": "learning", "explanation": "concept", "reference": "reference", "troubleshooting": "troubleshooting"}
-LIFECYCLE_PHASES = ("administration", "customization", "update", "deployment", "integration", "deinstallation")
-ASPECTS = ("architecture", "interface", "system-requirement")
-LIFECYCLE_IRIS = {x: iri(f"iirdsSft:{x.capitalize()}") for x in LIFECYCLE_PHASES}
-ASPECT_IRIS = {x: iri("iirdsSft:" + x.title().replace("-", "")) for x in ASPECTS}
-FILL_FIELDS = ("label", "alt-labels", "broader", "narrower", "related", "concepts", "type", "applies-to", "not-applicable-to", "about-product-lifecycle", "about-product-aspect", "not-about-product-aspect")
+LIFECYCLE_IRIS = {
+    "administration": iri("iirdsSft:Administration"), "customization": iri("iirdsSft:Customization"), "update": iri("iirdsSft:Update"),
+    "deployment": iri("iirdsSft:Deployment"), "integration": iri("iirdsSft:Integration"), "deinstallation": iri("iirdsSft:Deinstallation"),
+}
+ASPECT_IRIS = {"architecture": iri("iirdsSft:Architecture"), "interface": iri("iirdsSft:Interface"), "system-requirement": iri("iirdsSft:SystemRequirement")}
 UNDETERMINED = "und"
