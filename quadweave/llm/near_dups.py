@@ -44,8 +44,9 @@ THRESHOLD = 85
 MISSED, MOST_REGISTERS = 80_000, 360
 #: Candidates pass whose estimate is within this many standard errors of the threshold.
 ERRORS = 6.0
-#: Pairs of different components for each member up to which a bucket's are all looked at, and the levels at which larger ones have centres.
-SMALL, LEVELS = 24, 3
+#: Pairs of different components for each member up to which a bucket's are all looked at, where a member is in a bucket
+#: of every band, and at later levels; and the levels at which larger buckets have centres.
+SMALL, SMALL_LATER, LEVELS = 4, 24, 3
 #: Bits of a hash that choose its register, those that are ranked, and the other registers that an empty one looks at.
 INDEX_BITS, RANK_BITS, PROBES = 20, 44, 32
 #: Classes of size in as many shingles as a centre has.
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         crossing = (F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2
         sizes = within.groupBy("key").agg(F.sum("_n").alias("n"), crossing.alias("_pairs")).filter("_pairs > 0")
         placed = cut(placed.join(sizes, "key"))
-        few = (F.col("_pairs") <= SMALL * F.col("n")) | F.lit(level == LEVELS)
+        few = (F.col("_pairs") <= (SMALL_LATER if level else SMALL) * F.col("n")) | F.lit(level == LEVELS)
         large, small = placed.filter(~few).select("key", "id", "n"), placed.filter(few).select("key", "id")
         centres = cut(_centres(large)) if level < LEVELS else None
         some_large = centres is not None and centres.limit(1).count() > 0

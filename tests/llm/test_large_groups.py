@@ -12,6 +12,7 @@ from quadweave.llm import near_dups, oracles
 def test_star_subgroups_and_truncated_copies(spark, monkeypatch):
     """Members near a common text but apart from each other; some share a change; some are cut short."""
     monkeypatch.setattr(near_dups, "SMALL", 2)
+    monkeypatch.setattr(near_dups, "SMALL_LATER", 2)
     rng = np.random.default_rng(21)
     base = [f"b{i}" for i in range(150)]
 
