@@ -9,14 +9,16 @@ from the start, however many they are.
 
 A small bucket's pairs are all looked at.  A large bucket never emits its
 pairs: all its members are compared with one of them, its centre ``c``, the
-member whose buckets hold most rows.  Two members ``x, y`` that are still in
-different components can then be linked in two ways only.  They share a shingle
-outside ``c``; as they share at least ``threshold * n_x - |x & c|`` of those, one
-lies among the first few of either's in hash order (prefix filter).  Or they
-don't, so that ``|x & y| <= min(|x & c|, |y & c|)``, which for most pairs is too
-few for their sizes.  Members that share such a shingle, or have such sizes, are
-the buckets of the next level, and so on; what is left after the last level is
-compared pair by pair.  Nothing is dropped.
+member whose buckets hold most rows.  Let ``D_x`` be the shingles that only one
+of ``x`` and ``c`` has.  Two members are as far apart as ``D_x`` and ``D_y`` are,
+and linked if that is at most ``d = (1 - threshold) / (1 + threshold) * (n_x + n_y)``.
+Unless both are linked with ``c``, and so with each other's component, ``D_x`` and
+``D_y`` then hold more than ``d`` shingles together and share one.  With each ``D``
+in order, the group's rarest shingles first, the first one shared lies among the
+first ``d / 2 + 1`` of the smaller ``D`` and the first ``d + 1`` of the other
+(prefix filter), so that what most members have or lack alike tells nothing.
+Members that meet so are the buckets of the next level, and so on; what is left
+after the last level is compared pair by pair.  Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -49,8 +51,6 @@ ERRORS = 6.0
 SMALL, SMALL_LATER, LEVELS = 4, 24, 3
 #: Bits of a hash that choose its register, those that are ranked, and the other registers that an empty one looks at.
 INDEX_BITS, RANK_BITS, PROBES = 20, 44, 32
-#: Classes of size in as many shingles as a centre has.
-SIZE_CLASSES = 64
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.iinfo("uint64").max
@@ -203,10 +203,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int, n_registers: int)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b, shared, n_a, n_b, linked, outside)`` by whole shingle sets; both texts meet row by row.
+    """``(a, b, n_a, linked, apart)`` by whole shingle sets; both texts meet row by row.
 
-    ``outside`` are the shingles of ``a`` that ``b`` lacks, first ones by hash:
-    as many as tell any text linked with ``a`` that shares enough of them.
+    ``apart`` are the shingles that only one of them has.
     """
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -217,15 +216,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                 two = shingle_sets(words_of(pc.ascii_lower(texts_of(batch.column("text_b")))))
                 rows = []
                 for x, y in zip(one, two, strict=True):
-                    out = np.setdiff1d(x, y, assume_unique=True)
-                    shared = x.size - out.size
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    shared = (x.size + y.size - apart.size) // 2
                     linked = shared > 0 and 100 * shared >= threshold * (x.size + y.size - shared)
-                    need = max(1, -(-threshold * x.size // 100) - shared)
-                    rows.append((shared, x.size, y.size, linked, out[: max(0, out.size - need + 1)].astype("int64")))
-                columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, ("int64", "int64", "int64", "bool", pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "shared", "n_a", "n_b", "linked", "outside"])
+                    rows.append((x.size, linked, apart.astype("int64")))
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, ("int64", "bool", pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "n_a", "linked", "apart"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, shared long, n_a long, n_b long, linked boolean, outside array<long>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, n_a long, linked boolean, apart array<long>")
 
 
 def _centres(large: DataFrame) -> DataFrame:
@@ -244,29 +242,27 @@ def _centres(large: DataFrame) -> DataFrame:
 
 
 def _next_buckets(compared: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """``(key, id)``: which members compared with a centre may still be linked with each other.
+    """``(key, id, low)``: which members compared with a centre may still be linked with each other.
 
-    ``compared`` has the members as ``a`` and their centres as ``b``.
+    ``compared`` has the members as ``a`` and their centres as ``b``.  Of two
+    members that may be linked, one at least is ``low`` in a bucket of both.
     """
     rows = compared.join(labels.withColumnRenamed("id", "a"), "a")
-    by_shingle = rows.select("b", "a", "component", F.explode("outside").alias("shingle")).select(F.xxhash64("b", "shingle").alias("key"), F.col("a").alias("id"), "component")
-    # the pair shares nothing outside the centre: x has fewer of its shingles, y is small enough for them
-    width = F.greatest(F.lit(1), F.floor(F.col("n_b") / SIZE_CLASSES))
-    most = F.floor(F.col("shared") * (100 + threshold) / threshold) - F.col("n_a")
-    least = F.greatest(F.col("shared"), F.ceil(F.col("n_a") * threshold / 100))
-    bounds = rows.groupBy("b").agg(F.min("n_a").alias("_low"), F.max("n_a").alias("_high"))
-    x = rows.select("b", "a", "shared", "component", width.alias("_width"), least.alias("_from"), most.alias("_to")).join(bounds, "b")
-    x = x.withColumn("_from", F.greatest("_from", "_low")).withColumn("_to", F.least("_to", "_high")).filter("_from <= _to")
-    x = x.select("b", "a", "shared", "component", F.explode(F.sequence(F.floor(F.col("_from") / F.col("_width")), F.floor(F.col("_to") / F.col("_width")))).alias("size"))
-    y = rows.select("b", "a", "shared", "component", F.floor(F.col("n_a") / width).alias("size"))
-    ends = lambda side, how: side.groupBy("b", "size").agg(how("shared").alias("_shared"), F.min("component").alias("_min"), F.max("component").alias("_max"))
-    other = (F.col("_min") != F.col("component")) | (F.col("_max") != F.col("component"))
-    x_in = x.join(ends(y, F.max), ["b", "size"]).filter(other & (F.col("shared") <= F.col("_shared")))
-    y_in = y.join(ends(x, F.min), ["b", "size"]).filter(other & (F.col("shared") >= F.col("_shared")))
-    by_size = x_in.unionByName(y_in).select(F.xxhash64("b", F.lit("size"), "size").alias("key"), F.col("a").alias("id"), "component")
-    found = by_shingle.unionByName(by_size)
-    open_ = found.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select("key")
-    return found.select("key", "id").join(open_, "key", "left_semi").distinct()
+    open_ = rows.groupBy("b").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select("b")
+    rows = rows.join(open_, "b", "left_semi")
+    each = rows.select("b", "a", F.explode("apart").alias("shingle"))
+    met = each.groupBy("b", "shingle").agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    # the shingles that no other member's D has come first, and lead nowhere
+    ranked = each.join(met, ["b", "shingle"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("_rows", "shingle"))).alias("_met"))
+    most = F.floor(F.col("n_a") * (100 - threshold) / threshold)  # how far a linked text can be
+    ranked = ranked.join(rows.select("b", "a", "component", most.alias("_most"), F.size("apart").alias("_size")), ["b", "a"])
+    before = F.col("_size") - F.size("_met")
+    first = F.slice("_met", F.lit(1), F.greatest(F.lit(0), F.col("_most") + 1 - before).cast("int"))
+    found = ranked.select("b", "a", "component", "_most", before.alias("_before"), F.posexplode(first).alias("_at", "_one"))
+    low = F.col("_before") + F.col("_at") <= F.floor(F.col("_most") / 2)
+    found = found.select(F.xxhash64("b", "_one.shingle").alias("key"), F.col("a").alias("id"), low.alias("low"), "component")
+    open_ = found.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max"), F.max("low").alias("_low")).filter("_min <> _max and _low").select("key")
+    return found.select("key", "id", "low").join(open_, "key", "left_semi").groupBy("key", "id").agg(F.max("low").alias("low"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = F.explode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 2 * plan.rows * b + 1, 2 * plan.rows)) for b in range(plan.bands))))
     bands = reps.select("id", keys.alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("_min"), F.max("id").alias("_max")).filter("_min <> _max")
-    bands = cut(bands.join(shared.select("key"), "key", "left_semi").distinct())
+    bands = cut(bands.join(shared.select("key"), "key", "left_semi").distinct().withColumn("low", F.lit(True)))
     near = cut(reps.join(bands.select("id").distinct(), "id", "left_semi"))
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = cut(wanted.join(near.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
@@ -318,12 +314,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     for level in range(LEVELS + 1 if n_near else 0):
         placed = cut(bands.join(labels, "id"))
-        within = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
-        crossing = (F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2
-        sizes = within.groupBy("key").agg(F.sum("_n").alias("n"), crossing.alias("_pairs")).filter("_pairs > 0")
+        within = placed.groupBy("key", "component").agg(F.count("*").alias("_n"), F.count_if(~F.col("low")).alias("_high"))
+        crossing = lambda n: (F.sum(n) * F.sum(n) - F.sum(F.col(n) * F.col(n))) / 2
+        sizes = within.groupBy("key").agg(F.sum("_n").alias("n"), (crossing("_n") - crossing("_high")).alias("_pairs")).filter("_pairs > 0")
         placed = cut(placed.join(sizes, "key"))
         few = (F.col("_pairs") <= (SMALL_LATER if level else SMALL) * F.col("n")) | F.lit(level == LEVELS)
-        large, small = placed.filter(~few).select("key", "id", "n"), placed.filter(few).select("key", "id")
+        large, small = placed.filter(~few).select("key", "id", "n"), placed.filter(few).select("key", "id", "low")
         centres = cut(_centres(large)) if level < LEVELS else None
         some_large = centres is not None and centres.limit(1).count() > 0
         if some_large:
@@ -331,8 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             compared = cut(_compared(pairs, texts, threshold))
             settle(compared.filter("linked").select("a", "b"))
         small = small.join(labels, "id")
-        meet = small.select("key", F.col("id").alias("a"), F.col("component").alias("x")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("y")), "key")
-        pairs = cut(meet.filter("a < b and x <> y").select("a", "b").distinct())
+        meet = small.select("key", F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("component").alias("x")).join(small.select("key", F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("component").alias("y")), "key")
+        pairs = cut(meet.filter("a < b and x <> y and (low_a or low_b)").select("a", "b").distinct())
         settle(_compared(_likely(pairs, near, threshold, plan.registers), texts, threshold).filter("linked").select("a", "b"))
         if not some_large:
             break
