@@ -30,6 +30,8 @@ SKETCH = 8
 MIN_DOCS, MIN_SHARE = 4, 0.2
 #: Least numbers of a leaf's lines with a token for it to stay, and the share of its tail that a line must keep.
 LEVELS, AGREES = tuple(4**k for k in range(1, 16)), 0.75
+#: Bits by which documents are told that need not be moved, in words of 64.
+SLOTS = 1 << 24
 #: For sums of fractions that should reach a whole number.
 SLACK = 1e-6
 
@@ -85,6 +87,15 @@ def _recurs(rows: DataFrame, key: str, sketches: DataFrame, min_docs: int, min_s
     return judged.join(found, key).filter(F.col("_unrelated") >= min_share * F.col("_m") - SLACK).select(key, "_doc")
 
 
+def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is none of ``ids``; a table of bits as large for any input tells them."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    words = ids.select(slot("_id").alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = rows.withColumn("_slot", slot(key)).withColumn("_word", F.floor(F.col("_slot") / 64))
+    return placed.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _at_least(tokens: str, n: int) -> Column:
     return F.filter(tokens, lambda x: x["_n"] >= n)
 
@@ -112,9 +123,9 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_sh
     # other lines of leaves that recur: generalise their tails; a shorter line is a leaf of its own
     rest = held(lines.filter("_tailed").join(recurs.hint("merge"), ["_line", "_doc"], "left_anti"), "_leaf")
     open_ = rest.join(_recurs(rest, "_leaf", sketches, min_docs, min_share), ["_leaf", "_doc"], "left_semi")
-    wanted = open_.groupBy("_id").agg(F.collect_set("_line").alias("_open"))
+    wanted = cut(open_.groupBy("_id").agg(F.collect_set("_line").alias("_open")))
     again = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    some = _lines(again.join(wanted, F.col("_key").eqNullSafe(F.col("_id"))), "_key", "_text", "_open")
+    some = _lines(_among(again, "_key", wanted).join(wanted.hint("merge"), F.col("_key").eqNullSafe(F.col("_id"))), "_key", "_text", "_open")
     some = some.select("_id", "_doc", F.explode(F.filter("_forms", lambda f: F.array_contains("_open", F.xxhash64(f)))).alias("_form")).withColumn("_tokens", F.split("_form", " "))
     busy = cut(some.select("_id", "_doc", F.xxhash64("_form").alias("_line"), leaf.alias("_leaf"), F.slice(F.col("_tokens"), DEPTH + 1, F.size("_tokens")).alias("_tail")))
     counts = busy.select("_leaf", F.posexplode("_tail").alias("_pos", "_token")).groupBy("_leaf", "_pos", "_token").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min(LEVELS))
