@@ -38,6 +38,12 @@ def test_cycles_and_related_conflicts(spark):
     assert [tuple(r) for r in graph.related_conflicts(q).collect()] == [("a", "c")]
 
 
+def test_a_node_between_two_cycles_is_on_none(spark):
+    pairs = [("c", "d"), ("d", "c"), ("d", "a"), ("a", "e"), ("e", "f"), ("f", "e"), ("f", "b"), ("b", "b")]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    assert {(r["iri"], r["component"]) for r in graph.cycles(edges).collect()} == {("c", "c"), ("d", "c"), ("e", "e"), ("f", "e"), ("b", "b")}
+
+
 def test_shapes(spark):
     q = frame(spark, [("a", V.RDF_TYPE, "iri", V.DOCUMENT, None), ("a", V.CREATED, "literal", "2024-13", V.XSD_DATE), ("a", V.APPLIES_TO, "iri", "v", None), ("a", V.NOT_APPLIES_TO, "iri", "v", None), ("a", "odd", "literal", "1", None)])
     shape = check.Shape(target_class=V.DOCUMENT, closed=True, properties=(check.Property(V.TITLE, min_count=1), check.Property(V.CREATED, datatype=V.XSD_DATE), check.Property(V.APPLIES_TO, disjoint=V.NOT_APPLIES_TO), check.Property(V.NOT_APPLIES_TO)))
