@@ -85,8 +85,8 @@ def relative_path(doc: Column | str, target: Column | str) -> Column:
     parts = F.filter(F.concat(folder, F.split(_c(target), "/")), lambda p: (p != "") & (p != "."))
     start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
     up = lambda a, p: F.when(p == "..", F.struct(F.slice(a["at"], F.lit(1), F.greatest(F.size(a["at"]) - 1, F.lit(0))).alias("at"), (a["ok"] & (F.size(a["at"]) > 0)).alias("ok"))).otherwise(F.struct(F.concat(a["at"], F.array(p)).alias("at"), a["ok"].alias("ok")))
-    end = F.aggregate(parts, start, up)
-    return F.when(end["ok"], F.array_join(end["at"], "/"))
+    ends = F.array(F.aggregate(parts, start, up))  # a lambda's argument is worked out once
+    return F.transform(ends, lambda end: F.when(end["ok"], F.array_join(end["at"], "/")))[0]
 
 
 def date_datatype(text: Column | str) -> Column:

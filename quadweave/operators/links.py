@@ -67,7 +67,9 @@ def resolve(links: DataFrame, paths: DataFrame, routes: Sequence[Route] = ()) ->
     inner = rows.filter(~S.has_scheme("raw")).select("path", "raw", target.alias("target"), F.nullif(anchor, F.lit("")).alias("anchor")).filter("target <> ''")
 
     site = F.col("target").startswith("/")
-    clean = F.regexp_replace(S.safe_decode("target"), "/+$", "")
+    # columns of their own: each is used in many places
+    inner = inner.withColumn("decoded", S.safe_decode("target")).withColumn("clean", F.regexp_replace("decoded", "/+$", "")).withColumn("at", S.relative_path("path", F.col("decoded")))
+    clean = F.col("clean")
     folder = F.col("target").endswith("/")
     routed, any_route = F.array().cast(_NONE), F.lit(False)
     for r in routes:
@@ -76,7 +78,7 @@ def resolve(links: DataFrame, paths: DataFrame, routes: Sequence[Route] = ()) ->
         stem = F.when(rest == "", F.lit(r.root)).otherwise(F.concat(F.lit(r.root + "/" if r.root else ""), rest))
         routed = F.concat(routed, F.when(fits, _keys(candidates(stem, folder | (rest == ""), r.extensions, r.index_files))).otherwise(F.array().cast(_NONE)))
         any_route = any_route | fits
-    at = S.relative_path("path", S.safe_decode("target"))
+    at = F.col("at")
     near = F.when(at.isNull(), F.array().cast(_NONE)).otherwise(F.concat(F.array(F.concat(F.lit("e:"), at)), F.when(_has_extension(at), F.array().cast(_NONE)).otherwise(_keys(candidates(at, folder)))))
     skip = F.when(site, ~any_route).otherwise(F.coalesce(~_for_documents(at, EXTENSIONS), F.lit(False)))
     inner = inner.select("path", "raw", "anchor", skip.alias("skip"), F.when(site, routed).otherwise(near).alias("keys"))

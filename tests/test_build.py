@@ -140,3 +140,20 @@ def test_bad_turtle():
     for bad in ("<a> <b> [] .", "<a> <b> ", "x:a <b> <c> .", '<a> <b> "t"@en .'):
         with pytest.raises(artifacts.GraphError):
             list(artifacts.parse_turtle(bad))
+
+
+def test_pages_are_dealt_out_and_read_in_few_scans(spark):
+    parsed = markdown.parse(spark.createDataFrame([("a.md", "# A"), ("b.md", "# B")], "path string, content string").coalesce(1))
+    assert parsed.rdd.getNumPartitions() > 1
+    assert derive(parsed, Options(qualified=True))._jdf.queryExecution().optimizedPlan().collectLeaves().size() < 30
+
+
+def test_what_two_sources_say_is_said_once(spark):
+    page = '+++\nauthors = ["Ann", "ann", "Bo"]\ntags = ["Two Words", "two words"]\n+++\n![p](i.png) ![p](./i.png)\n'
+    git = spark.createDataFrame([("a.md", "2023-05-01T00:00:00Z", None, ["ANN", "Cy"], ["b.md"])], "path string, created string, modified string, authors array<string>, renamed_from array<string>")
+    files = spark.createDataFrame([("a.md", page), ("./a.md", page), ("b.md", "# B")], "path string, content string")
+    for rows in (files, files.filter("path <> './a.md'")):
+        got = [tuple(r) for r in derive(markdown.parse(rows), Options(qualified=True, git=git)).collect()]
+        assert len(got) == len(set(got))
+        assert sorted(o.rpartition("/")[2] for _, p, _, o, _ in got if p == V.CREATOR) == ["ann", "bo", "cy"]
+        assert sorted(o for _, p, _, o, _ in got if p == V.iri("foaf:name")) == ["ANN", "Ann", "Bo", "Cy", "ann", "quadweave"]
