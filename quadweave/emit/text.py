@@ -41,20 +41,27 @@ def turtle_term(kind: Column, value: Column, datatype: Column) -> Column:
     return F.when(kind == "iri", shorten(value)).otherwise(literal)
 
 
-def by_subject(quads: DataFrame, term: Column, predicate: Column, joined: str = ", ") -> DataFrame:
-    """``(s, parts)``: per subject its predicates in order, types first, each with its objects' texts joined in order."""
-    objects = F.struct((F.col("o_kind") != "iri").alias("k"), code_unit_key("o_value").alias("v"), F.coalesce("o_datatype", F.lit("")).alias("d"), term.alias("t"))
-    per = quads.groupBy("s", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(objects)), lambda x: x["t"]), joined).alias("objects"))
-    part = F.struct((F.col("p") != V.RDF_TYPE).alias("k"), code_unit_key("p").alias("v"), predicate.alias("p"), "objects")
-    return per.groupBy("s").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+def turtle_blocks(quads: DataFrame) -> DataFrame:
+    """``(s, block)``: each subject's statement, its predicates in order, types first, each with its objects in order.
 
+    Triples meet once, by subject; one that comes twice is shown once.
+    """
+    # terms move as they are; keys to sort by and texts are made where they have met
+    rows = quads.groupBy("s").agg(F.collect_list(F.struct("p", "o_kind", "o_value", "o_datatype")).alias("all"))
 
-def turtle_blocks(quads: DataFrame) -> DataFrame:
-    """``(s, block)``: each subject's statement."""
-    predicate = F.when(F.col("p") == V.RDF_TYPE, F.lit("a")).otherwise(shorten(F.col("p")))
-    rows = by_subject(quads, turtle_term(F.col("o_kind"), F.col("o_value"), F.col("o_datatype")), predicate)
-    lines = F.array_join(F.transform("parts", lambda x: F.concat(x["p"], F.lit(" "), x["objects"])), " ;\n  ")
-    return rows.select("s", F.concat(shorten(F.col("s")), F.lit(" "), lines, F.lit(" .")).alias("block"))
+    def keyed(x: Column) -> Column:
+        p, kind, value, datatype = x["p"], x["o_kind"], x["o_value"], x["o_datatype"]
+        key = [(p != V.RDF_TYPE).alias("a"), code_unit_key(p).alias("p"), (kind != "iri").alias("k"), code_unit_key(value).alias("v"), F.coalesce(datatype, F.lit("")).alias("d")]
+        return F.struct(*key, F.when(p == V.RDF_TYPE, F.lit("a")).otherwise(shorten(p)).alias("name"), turtle_term(kind, value, datatype).alias("t"))
+
+    rows = rows.select("s", F.array_sort(F.transform("all", keyed)).alias("all"))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get("all", i - 1)
+        lead = F.when(before["p"] == x["p"], F.when((before["k"] == x["k"]) & (before["v"] == x["v"]) & (before["d"] == x["d"]), F.lit("")).otherwise(F.concat(F.lit(", "), x["t"])))
+        return F.coalesce(lead, F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(" ;\n  ")), x["name"], F.lit(" "), x["t"]))
+
+    return rows.select("s", F.concat(shorten(F.col("s")), F.lit(" "), F.array_join(F.transform("all", piece), ""), F.lit(" .")).alias("block"))
 
 
 def _stream(rows: DataFrame, column: str) -> Iterator[str]:

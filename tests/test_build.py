@@ -157,3 +157,9 @@ def test_what_two_sources_say_is_said_once(spark):
         assert len(got) == len(set(got))
         assert sorted(o.rpartition("/")[2] for _, p, _, o, _ in got if p == V.CREATOR) == ["ann", "bo", "cy"]
         assert sorted(o for _, p, _, o, _ in got if p == V.iri("foaf:name")) == ["ANN", "Ann", "Bo", "Cy", "ann", "quadweave"]
+
+
+def test_turtle_triples_meet_once_and_show_once(spark):
+    rows = [("urn:s", V.REFERENCES, "iri", "urn:b", None), ("urn:s", V.REFERENCES, "iri", "urn:a", None), ("urn:s", V.REFERENCES, "iri", "urn:b", None), ("urn:s", V.RDF_TYPE, "iri", V.DOCUMENT, None)]
+    blocks = text.turtle_blocks(spark.createDataFrame(rows, V.QUADS))
+    assert blocks.first()["block"].split(" ;\n  ") == [f"<urn:s> a {text._compact(V.DOCUMENT)}", "dcterms:references <urn:a>, <urn:b> ."]
